@@ -12,6 +12,7 @@ from docloom.llm.chat_format import format_turns, read_back
 from docloom.llm.common import fold_of, table, with_text_columns
 from docloom.llm.fingerprints import fingerprint_edits
 from docloom.llm.language_id import fit_languages, identify_languages
+from docloom.llm.ngram_join import jaccard_components
 from docloom.llm.piece_codec import DEFAULT_MODEL, codec
 from docloom.llm.quality_classifier import fit_quality, score_quality
 from docloom.llm.quality_rules import apply_rules
@@ -63,8 +64,9 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mix_sources(docs)
+    return mixed.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_epochs") * F.col("_size")).alias("taken"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +81,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -97,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op5_source_mix,
             op7_secret_scan,
             op8_language_id,
+            op9_ngram_join,
             op10_chat_format,
         )
     }

@@ -4,11 +4,12 @@ A source's target is its share of the mix; complete epochs of the source come fi
 document gets an exponential key divided by its quality weight, and documents are taken in order of key until their
 words fill what is left of the target.
 
-Running sums are made in two steps, so that no source is sorted in one task: keys fall into ranges, the ranges of a
-source are summed, and a running sum within each range starts from those before it.
+No source is sorted in one task: keys fall into ranges, the ranges of each source are summed, and only the range in
+which a source reaches its target is ordered. What comes out is one bound per source, so that any table with the same
+documents can be cut by it without a shuffle.
 
-Edge cases: a null text has size 0 and is taken as often as it comes up, with no words; a null source is a source of
-its own, ordered last; rows of equal key are ordered by id and size; a table without words has targets of 0. Words
+Edge cases: a null text has size 0; a null source is a source of its own, ordered last; rows of equal key are ordered
+by id, and rows that repeat an id are taken together; a table without words has targets of 0 and takes nothing. Words
 taken are whole documents: the last one drawn is taken if that brings the source nearer to its target.
 """
 
@@ -16,7 +17,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docloom.llm.common import WORD, stored
@@ -26,15 +26,20 @@ RANGES = 1024
 _UNIFORM = "(conv(substr(md5(concat(cast(doc_id as string), ':', '{seed}')), 1, 13), 16, 10) + 1.0D) / 4503599627370497.0D"
 
 
-def sized_keys(docs: DataFrame, seed: str) -> DataFrame:
-    """doc_id, source, size in words, and the exponential key over the document's quality weight.
+def key_columns(seed: str) -> list:
+    """Size in words, exponential key over the document's quality weight, and the key's range.
 
     The weight is 0.25 plus 0.75 times the share of distinct words.
     """
-    words = docs.select("doc_id", "source", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)).alias("words"))
-    sized = words.select("doc_id", "source", F.size("words").cast("long").alias("size"), F.size(F.array_distinct("words")).alias("n_distinct"))
-    weight = 0.25 + 0.75 * F.coalesce(F.try_divide(F.col("n_distinct"), F.col("size")), F.lit(0.0))
-    return sized.select("doc_id", "source", "size", (-F.log(F.expr(_UNIFORM.format(seed=seed))) / weight).alias("key"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
+    size = F.size(words)
+    weight = 0.25 + 0.75 * F.coalesce(F.try_divide(F.size(F.array_distinct(words)), size), F.lit(0.0))
+    return [size.cast("long").alias("_size"), (-F.log(F.expr(_UNIFORM.format(seed=seed))) / weight).alias("_key")]
+
+
+def keyed(docs: DataFrame, seed: str, keep: list[str]) -> DataFrame:
+    made = docs.select(*keep, *key_columns(seed))
+    return made.withColumn("_range", F.least(F.lit(RANGES - 1), F.floor((1 - F.exp(-0.6 * F.col("_key"))) * RANGES)).cast("int"))
 
 
 def share_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], total_share: float, most_epochs: float) -> list[tuple[str | None, int, float]]:
@@ -56,30 +61,53 @@ def share_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...
     return [(name, size, float(target[name])) for name, size in ordered]
 
 
-def mix_sources(
-    docs: DataFrame,
+def source_bounds(
+    keys: DataFrame,
     weights: tuple[float, ...] = (5, 2, 1),
     total_share: float = 1.5,
     most_epochs: float = 2.0,
-    seed: str = "mix-1",
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target and ``epochs``: how often the mix takes the document.
+    """One row per source: its size, target, complete epochs, and the range and (key, id) up to which documents are drawn.
 
-    Totals per source, one row each, pass through the driver.
+    Totals and bounds, one row per source each, pass through the driver.
     """
-    spark = docs.sparkSession
-    keyed = stored(sized_keys(docs, seed).withColumn("range", F.least(F.lit(RANGES - 1), F.floor((1 - F.exp(-0.6 * F.col("key"))) * RANGES)).cast("int")))
-    ranges = keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    spark = keys.sparkSession
+    ranges = keys.groupBy("source", "_range").agg(F.sum("_size").alias("range_size"))
     totals = [(r["source"], r["n"]) for r in ranges.groupBy("source").agg(F.sum("range_size").alias("n")).collect()]
-    schema = T.StructType([T.StructField("t_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    targets = spark.createDataFrame(share_targets(totals, weights, total_share, most_epochs), schema)
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.select(F.col("source").alias("s_source"), F.col("range").alias("s_range"), F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("start"))
-    starts = starts.join(targets, F.col("s_source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    summed = keyed.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    whole = F.floor(F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)))
-    rest = F.col("target") - whole * F.col("source_size")
-    drawn = (F.col("start") + F.col("ahead") + F.col("size") / 2 < rest).cast("long")
-    joined = summed.join(starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("range") == F.col("s_range")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (whole + drawn).cast("long").alias("epochs"))
+    shared = share_targets(totals, weights, total_share, most_epochs)
+    plan = [(s, n, t, int(t // n) if n else 0, t - (t // n) * n if n else 0.0) for s, n, t in shared]
+    targets = spark.createDataFrame(plan, "b_source string, source_size long, target double, epochs long, rest double")
+    upto = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranges.withColumn("start", F.coalesce(F.sum("range_size").over(upto), F.lit(0)))
+    last = summed.join(targets, F.col("source").eqNullSafe(F.col("b_source"))).where("start < rest and start + range_size >= rest")
+    last = last.select("b_source", F.col("_range").alias("last_range"), "start", "rest")
+    within = Window.partitionBy("b_source").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    edge = keys.join(last, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("_range") == F.col("last_range")))
+    edge = edge.withColumn("ahead", F.col("start") + F.coalesce(F.sum("_size").over(within), F.lit(0)))
+    drawn = F.when(F.col("ahead") + F.col("_size") / 2 < F.col("rest"), F.struct("_key", "doc_id"))
+    bounds = edge.groupBy("b_source").agg(F.first("last_range").alias("last_range"), F.max(drawn).alias("bound"))
+    found = {r["b_source"]: (r["last_range"], r["bound"]) for r in bounds.collect()}
+    rows = []
+    for s, n, t, epochs, _ in plan:
+        at, bound = found.get(s, (-1, None))
+        rows.append((s, n, t, epochs, at, bound["_key"] if bound else -1.0, bound["doc_id"] if bound else None))
+    return spark.createDataFrame(rows, "b_source string, source_size long, target double, epochs long, last_range int, last_key double, last_id long")
+
+
+def mix_sources(docs: DataFrame, seed: str = "mix-1", **shares) -> DataFrame:
+    """All rows and columns, with ``_size``, ``source_size``, ``target`` and ``_epochs``: how often the mix takes the row.
+
+    ``shares`` are those of ``source_bounds``.
+    """
+    slim = stored(keyed(docs, seed, ["doc_id", "source"]))
+    bounds = source_bounds(slim, **shares)
+    met = keyed(docs, seed, docs.columns).join(bounds, F.col("source").eqNullSafe(F.col("b_source")))
+    at_bound = (F.col("_key") < F.col("last_key")) | ((F.col("_key") == F.col("last_key")) & (F.coalesce("doc_id", F.lit(-(1 << 63))) <= F.coalesce("last_id", F.lit(-(1 << 63)))))
+    drawn = (F.col("_range") < F.col("last_range")) | ((F.col("_range") == F.col("last_range")) & at_bound)
+    return met.select(*docs.columns, "_size", "source_size", "target", (F.col("epochs") + drawn.cast("long")).alias("_epochs"))
+
+
+def take_mix(docs: DataFrame, seed: str = "mix-1", **shares) -> DataFrame:
+    """The mix itself: each row as often as the mix takes it, with the columns of ``docs``."""
+    mixed = mix_sources(docs, seed, **shares).where("_epochs > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_epochs").cast("int")))).select(*docs.columns)
