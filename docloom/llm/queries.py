@@ -13,6 +13,7 @@ from docloom.llm.common import fold_of, table, with_text_columns
 from docloom.llm.fingerprints import fingerprint_edits
 from docloom.llm.language_id import fit_languages, identify_languages
 from docloom.llm.ngram_join import jaccard_components
+from docloom.llm.passages import repeated_passages
 from docloom.llm.piece_codec import DEFAULT_MODEL, codec
 from docloom.llm.quality_classifier import fit_quality, score_quality
 from docloom.llm.quality_rules import apply_rules
@@ -69,6 +70,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_epochs") * F.col("_size")).alias("taken"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
@@ -101,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op3_fingerprints,
             op4_piece_codec,
             op5_source_mix,
+            op6_repeated_passages,
             op7_secret_scan,
             op8_language_id,
             op9_ngram_join,
