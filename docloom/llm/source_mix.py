@@ -34,12 +34,12 @@ def key_columns(seed: str) -> list:
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
     size = F.size(words)
     weight = 0.25 + 0.75 * F.coalesce(F.try_divide(F.size(F.array_distinct(words)), size), F.lit(0.0))
-    return [size.cast("long").alias("_size"), (-F.log(F.expr(_UNIFORM.format(seed=seed))) / weight).alias("_key")]
+    return [size.cast("long").alias("__mix_size"), (-F.log(F.expr(_UNIFORM.format(seed=seed))) / weight).alias("__mix_key")]
 
 
 def keyed(docs: DataFrame, seed: str, keep: list[str]) -> DataFrame:
     made = docs.select(*keep, *key_columns(seed))
-    return made.withColumn("_range", F.least(F.lit(RANGES - 1), F.floor((1 - F.exp(-0.6 * F.col("_key"))) * RANGES)).cast("int"))
+    return made.withColumn("__mix_range", F.least(F.lit(RANGES - 1), F.floor((1 - F.exp(-0.6 * F.col("__mix_key"))) * RANGES)).cast("int"))
 
 
 def share_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], total_share: float, most_epochs: float) -> list[tuple[str | None, int, float]]:
@@ -72,42 +72,51 @@ def source_bounds(
     Totals and bounds, one row per source each, pass through the driver.
     """
     spark = keys.sparkSession
-    ranges = keys.groupBy("source", "_range").agg(F.sum("_size").alias("range_size"))
-    totals = [(r["source"], r["n"]) for r in ranges.groupBy("source").agg(F.sum("range_size").alias("n")).collect()]
+    ranges = keys.groupBy("source", "__mix_range").agg(F.sum("__mix_size").alias("__mix_range_size"))
+    totals = [(r["source"], r["n"]) for r in ranges.groupBy("source").agg(F.sum("__mix_range_size").alias("n")).collect()]
     shared = share_targets(totals, weights, total_share, most_epochs)
     plan = [(s, n, t, int(t // n) if n else 0, t - (t // n) * n if n else 0.0) for s, n, t in shared]
     targets = spark.createDataFrame(plan, "b_source string, source_size long, target double, epochs long, rest double")
-    upto = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranges.withColumn("start", F.coalesce(F.sum("range_size").over(upto), F.lit(0)))
-    last = summed.join(targets, F.col("source").eqNullSafe(F.col("b_source"))).where("start < rest and start + range_size >= rest")
-    last = last.select("b_source", F.col("_range").alias("last_range"), "start", "rest")
-    within = Window.partitionBy("b_source").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = keys.join(last, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("_range") == F.col("last_range")))
-    edge = edge.withColumn("ahead", F.col("start") + F.coalesce(F.sum("_size").over(within), F.lit(0)))
-    drawn = F.when(F.col("ahead") + F.col("_size") / 2 < F.col("rest"), F.struct("_key", "doc_id"))
+    upto = Window.partitionBy("source").orderBy("__mix_range").rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranges.withColumn("start", F.coalesce(F.sum("__mix_range_size").over(upto), F.lit(0)))
+    last = summed.join(targets, F.col("source").eqNullSafe(F.col("b_source"))).where("start < rest and start + __mix_range_size >= rest")
+    last = last.select("b_source", F.col("__mix_range").alias("last_range"), "start", "rest")
+    within = Window.partitionBy("b_source").orderBy("__mix_key", "doc_id", "__mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    edge = keys.join(last, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("__mix_range") == F.col("last_range")))
+    edge = edge.withColumn("ahead", F.col("start") + F.coalesce(F.sum("__mix_size").over(within), F.lit(0)))
+    drawn = F.when(F.col("ahead") + F.col("__mix_size") / 2 < F.col("rest"), F.struct("__mix_key", "doc_id"))
     bounds = edge.groupBy("b_source").agg(F.first("last_range").alias("last_range"), F.max(drawn).alias("bound"))
     found = {r["b_source"]: (r["last_range"], r["bound"]) for r in bounds.collect()}
     rows = []
     for s, n, t, epochs, _ in plan:
         at, bound = found.get(s, (-1, None))
-        rows.append((s, n, t, epochs, at, bound["_key"] if bound else -1.0, bound["doc_id"] if bound else None))
+        rows.append((s, n, t, epochs, at, bound["__mix_key"] if bound else -1.0, bound["doc_id"] if bound else None))
     return spark.createDataFrame(rows, "b_source string, source_size long, target double, epochs long, last_range int, last_key double, last_id long")
 
 
+def _mixed(docs: DataFrame, seed: str, keep: list[str], shares: dict) -> DataFrame:
+    slim = stored(keyed(docs, seed, ["doc_id", "source"]))
+    bounds = source_bounds(slim, **shares)
+    bounds = bounds.select(*(F.col(c).alias(f"__mix_{c}") for c in bounds.columns))
+    own = lambda c: F.col(f"__mix_{c}")
+    met = keyed(docs, seed, keep).join(bounds, F.col("source").eqNullSafe(own("b_source")))
+    low = F.lit(-(1 << 63))
+    at_bound = (own("key") < own("last_key")) | ((own("key") == own("last_key")) & (F.coalesce("doc_id", low) <= F.coalesce(own("last_id"), low)))
+    drawn = (own("range") < own("last_range")) | ((own("range") == own("last_range")) & at_bound)
+    return met.withColumn("__mix_taken", own("epochs") + F.coalesce(drawn, F.lit(False)).cast("long"))
+
+
 def mix_sources(docs: DataFrame, seed: str = "mix-1", **shares) -> DataFrame:
-    """All rows and columns, with ``_size``, ``source_size``, ``target`` and ``_epochs``: how often the mix takes the row.
+    """doc_id, source, size, source_size, target and epochs: how often the mix takes each row.
 
     ``shares`` are those of ``source_bounds``.
     """
-    slim = stored(keyed(docs, seed, ["doc_id", "source"]))
-    bounds = source_bounds(slim, **shares)
-    met = keyed(docs, seed, docs.columns).join(bounds, F.col("source").eqNullSafe(F.col("b_source")))
-    at_bound = (F.col("_key") < F.col("last_key")) | ((F.col("_key") == F.col("last_key")) & (F.coalesce("doc_id", F.lit(-(1 << 63))) <= F.coalesce("last_id", F.lit(-(1 << 63)))))
-    drawn = (F.col("_range") < F.col("last_range")) | ((F.col("_range") == F.col("last_range")) & at_bound)
-    return met.select(*docs.columns, "_size", "source_size", "target", (F.col("epochs") + drawn.cast("long")).alias("_epochs"))
+    mixed = _mixed(docs, seed, ["doc_id", "source"], shares)
+    names = {"size": "__mix_size", "source_size": "__mix_source_size", "target": "__mix_target", "epochs": "__mix_taken"}
+    return mixed.select("doc_id", "source", *(F.col(c).alias(n) for n, c in names.items()))
 
 
 def take_mix(docs: DataFrame, seed: str = "mix-1", **shares) -> DataFrame:
     """The mix itself: each row as often as the mix takes it, with the columns of ``docs``."""
-    mixed = mix_sources(docs, seed, **shares).where("_epochs > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_epochs").cast("int")))).select(*docs.columns)
+    mixed = _mixed(docs, seed, docs.columns, shares).where("__mix_taken > 0")
+    return mixed.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_taken").cast("int")))).select(*docs.columns)
