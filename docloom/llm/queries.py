@@ -13,6 +13,7 @@ from docloom.llm.common import fold_of, table, with_text_columns
 from docloom.llm.fingerprints import fingerprint_edits
 from docloom.llm.language_id import fit_languages, identify_languages
 from docloom.llm.ngram_join import jaccard_components
+from docloom.llm.oracles import ORACLES
 from docloom.llm.passages import repeated_passages
 from docloom.llm.piece_codec import DEFAULT_MODEL, codec
 from docloom.llm.quality_classifier import fit_quality, score_quality
@@ -115,4 +116,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
