@@ -14,12 +14,12 @@ C = F.col
 
 
 def order_documents(t):
-    """Customers below 300 with the array of their orders; NULL without any."""
-    orders = t("orders").where("o_custkey < 300").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("orders"))
-    return t("customer").where("c_custkey < 300").select("c_custkey", "c_name").join(orders, C("c_custkey") == C("o_custkey"), "left").select("c_custkey", F.struct("c_name", "orders").alias("doc"))
+    """Customers with the array of their orders; NULL without any."""
+    orders = t("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("orders"))
+    return t("customer").select("c_custkey", "c_name").join(orders, C("c_custkey") == C("o_custkey"), "left").select("c_custkey", F.struct("c_name", "orders").alias("doc"))
 
 
-_ORDERED = "(select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_orderkey) - 1 as i from orders where o_custkey < 300)"
+_ORDERED = "(select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_orderkey) - 1 as i from orders)"
 
 
 @query(f"select c_custkey, c_name, o_orderkey, o_totalprice from customer, {_ORDERED} where c_custkey = o_custkey")
@@ -27,7 +27,7 @@ def unwind(t):
     return nested.unwind(order_documents(t), "doc.orders").select("c_custkey", "doc.c_name", "doc.orders.*")
 
 
-@query(f"select c_custkey, o_orderkey, i from customer left join {_ORDERED} on c_custkey = o_custkey where c_custkey < 300")
+@query(f"select c_custkey, o_orderkey, i from customer left join {_ORDERED} on c_custkey = o_custkey")
 def unwind_outer_index(t):
     return nested.unwind(order_documents(t), "doc.orders", index="i", outer=True).select("c_custkey", "doc.orders.o_orderkey", "i")
 
@@ -37,10 +37,10 @@ def unwind_prefilter(t):
     return nested.unwind(order_documents(t), "doc.orders", where=lambda o: o.o_totalprice > 200000).select("c_custkey", "doc.orders.o_orderkey")
 
 
-@query("select l_orderkey, o_custkey, l_linenumber from lineitem, orders where l_orderkey = o_orderkey and o_custkey < 100")
+@query("select l_orderkey, o_custkey, l_linenumber from lineitem, orders where l_orderkey = o_orderkey")
 def unwind_paths(t):
     lines = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber")).alias("lines"))
-    met = t("orders").where("o_custkey < 100").join(lines, C("o_orderkey") == C("l_orderkey"))
+    met = t("orders").join(lines, C("o_orderkey") == C("l_orderkey"))
     docs = met.groupBy("o_custkey").agg(F.collect_list(F.struct("l_orderkey", "lines")).alias("orders"))
     return nested.unwind_paths(docs, "orders", nested.Path("orders.lines")).select("orders.l_orderkey", "o_custkey", "orders.lines.l_linenumber")
 
@@ -93,18 +93,18 @@ def stage_densify(t):
 
 
 @query("""select user_id, event_id, coalesce(x, -1) as filled, last_value(x ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and current row) as carried
-    from (select user_id, event_id, case when event_id % 3 = 0 then value end as x from events)""")
+    from (select user_id, event_id, case when event_type = 'purchase' then value end as x from events)""")
 def stage_fill(t):
-    df = t("events").select("user_id", "event_id", F.when(C("event_id") % 3 == 0, C("value")).alias("x"))
+    df = t("events").select("user_id", "event_id", F.when(C("event_type") == "purchase", C("value")).alias("x"))
     filled = stages.fill_value(df.withColumn("filled", C("x")), filled=-1.0).withColumnRenamed("x", "carried")
     return stages.fill_locf(filled, "carried", "event_id", ["user_id"])
 
 
-@query("""with e as (select user_id, event_id, case when event_id % 3 = 0 then value end as x from events), w as (select *, max(case when x is not null then event_id end) over (partition by user_id order by event_id rows between unbounded preceding and current row) as p,
+@query("""with e as (select user_id, event_id, case when event_type = 'purchase' then value end as x from events), w as (select *, max(case when x is not null then event_id end) over (partition by user_id order by event_id rows between unbounded preceding and current row) as p,
     min(case when x is not null then event_id end) over (partition by user_id order by event_id rows between current row and unbounded following) as q from e)
     select w.user_id, w.event_id, round(coalesce(w.x, a.x + (b.x - a.x) * (w.event_id - p) / (q - p)) + 1e-9, 5) as y from w left join e a on a.user_id = w.user_id and a.event_id = p left join e b on b.user_id = w.user_id and b.event_id = q""")
 def stage_fill_linear(t):
-    df = t("events").select("user_id", "event_id", F.when(C("event_id") % 3 == 0, C("value")).alias("x"))
+    df = t("events").select("user_id", "event_id", F.when(C("event_type") == "purchase", C("value")).alias("x"))
     return stages.fill_linear(df, "x", "event_id", ["user_id"]).select("user_id", "event_id", F.round(C("x") + 1e-9, 5).alias("y"))
 
 
@@ -133,9 +133,9 @@ def stage_sample(t):
     return stages.count(stages.sample(t("part"), 100))
 
 
-@query("""select s_suppkey, round(2 * 6378100 * asin(sqrt(pow(sin(radians(s_acctbal / 200) / 2), 2) + cos(radians(s_acctbal / 200)) * pow(sin(radians(s_suppkey / 2.0) / 2), 2))), 0) as m from supplier where s_acctbal between 0 and 9000 and s_suppkey < 100""")
+@query("""select s_suppkey, round(2 * 6378100 * asin(sqrt(pow(sin(radians(s_acctbal / 20000) / 2), 2) + cos(radians(s_acctbal / 20000)) * pow(sin(radians(s_suppkey / 20000.0) / 2), 2))), 0) as m from supplier""")
 def stage_geo_near(t):
-    places = t("supplier").where("s_acctbal between 0 and 9000 and s_suppkey < 100").select("s_suppkey", (C("s_suppkey") / 2.0).alias("lon"), (C("s_acctbal") / 200).alias("lat"))
+    places = t("supplier").select("s_suppkey", (C("s_suppkey") / 20000.0).alias("lon"), (C("s_acctbal") / 20000).alias("lat"))
     return stages.geo_near(places, "lon", "lat", (0.0, 0.0)).select("s_suppkey", F.round("distance", 0).alias("m"))
 
 
@@ -164,10 +164,10 @@ def window_derivative_integral(t):
     return df.select("user_id", "event_id", "rate", F.round(W.integral("step", "at", o), 2).alias("area"))
 
 
-@query("""with recursive n as (select user_id, value, row_number() over (partition by user_id order by event_id) as i, event_id from events where user_id < 20), r as (select user_id, event_id, i, value as ema from n where i = 1 union all
+@query("""with recursive n as (select user_id, value, row_number() over (partition by user_id order by event_id) as i, event_id from events), r as (select user_id, event_id, i, value as ema from n where i = 1 union all
     select n.user_id, n.event_id, n.i, 0.5 * n.value + 0.5 * r.ema from r, n where n.user_id = r.user_id and n.i = r.i + 1) select user_id, event_id, round(ema + 1e-9, 5) as ema from r""")
 def window_exp_moving_avg(t):
-    return t("events").where("user_id < 20").select("user_id", "event_id", F.round(W.exp_moving_avg("value", 0.5, W.ordered(["user_id"], "event_id")) + 1e-9, 5).alias("ema"))
+    return t("events").select("user_id", "event_id", F.round(W.exp_moving_avg("value", 0.5, W.ordered(["user_id"], "event_id")) + 1e-9, 5).alias("ema"))
 
 
 @query("select user_id, event_id, round(covar_pop(value, event_id) over w + 1e-6, 2) as p, round(covar_samp(value, event_id) over w + 1e-6, 2) as s from events window w as (partition by user_id order by event_id rows between 4 preceding and current row)")
