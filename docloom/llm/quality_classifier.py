@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import SPACE_BYTES, raw_texts, slices, with_text_columns
+from docloom.llm.common import SPACE_BYTES, raw_texts, with_text_columns
 
 FEATURES = (
     "log_words", "log_word_bytes", "log_distinct", "symbols", "bangs", "bars", "capitals", "digits", "marks", "repeats", "repeated_lines", "short_words",
@@ -84,18 +84,20 @@ class QualityModel:
 def class_moments(docs: DataFrame, labels: DataFrame, usable: Column) -> dict[int, np.ndarray]:
     """For each class the sum over its rows of (1, x) (1, x)': a fixed number of figures, summed by Spark."""
     known = labels.select(F.col("doc_id").alias("labelled_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").distinct()
-    rows = docs.select("doc_id", "text").where(usable).join(known, F.col("doc_id") == F.col("labelled_id")).select("text", "quality")
     d = len(FEATURES) + 1
+    # texts become a few figures before the join, so that no text is shuffled
+    kind = [T.StructField("x", T.ArrayType(T.DoubleType()))]
+    made = with_text_columns(docs.where(usable).select("doc_id", "text"), kind, lambda b: [pa.array(list(feature_matrix(b)), pa.list_(pa.float64()))])
+    rows = made.join(known, F.col("doc_id") == F.col("labelled_id")).select("x", "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, d, d))
         for batch in batches:
-            for part in slices(batch):
-                x = feature_matrix(part)
-                x = np.hstack([np.ones((len(x), 1)), x])
-                y = part.column("quality").to_numpy()
-                for c in (0, 1):
-                    sums[c] += x[y == c].T @ x[y == c]
+            x = np.asarray(batch.column("x").flatten()).reshape(-1, d - 1)
+            x = np.hstack([np.ones((len(x), 1)), x])
+            y = batch.column("quality").to_numpy()
+            for c in (0, 1):
+                sums[c] += x[y == c].T @ x[y == c]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["place", "value"])
 
     summed = rows.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
