@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 #: A word: a run of anything but ASCII white space. ``bytes.split()`` splits alike.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ The lexicon keeps terms whose inverse document frequency over all documents lies
 for hashed terms in a table of fixed size, so the lexicon is a bit set of ``2 ** LEXICON_BITS`` bits whatever the
 corpus; rare terms that share a place with a common one leave the lexicon with it.
 
-A text's distinct terms in the band are sorted. A randomised lexicon is one residue of the terms' hashes, and its
+A text's distinct terms in the band are sorted (by hash). A randomised lexicon is one residue of the terms' hashes, and its
 part of the fingerprint is the hash of the text's sorted terms that fall there. The modulus follows the number of
 terms, so that a part covers about one term, and two neighbouring moduli are kept, so that texts of somewhat
 different size still share one. The likeness of two fingerprints is the share of equal parts among those that either
@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from docloom.llm.common import WORD, shuffle_partitions
 
 LEXICON_BITS = 20
-PARTS = 32
+PARTS = 16
 DIGITS = 6
 _EMPTY = "." * DIGITS
 
@@ -60,25 +60,32 @@ def _bind(value: Column, use) -> Column:
 
 
 def fingerprint(text: Column, lexicon: Column) -> Column:
-    def in_lexicon(term: Column) -> Column:
-        place = _place(F.xxhash64(term))
+    """Terms stand by their hashes from the start: hashes are what is looked up, sorted and hashed again."""
+
+    def in_lexicon(h: Column) -> Column:
+        place = _place(h)
         return F.getbit(F.get(lexicon, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    def parts(hashes: Column, modulus: Column) -> Column:
-        residue = lambda x: F.pmod(F.shiftright(x, LEXICON_BITS), modulus)
+    def parts(hashes: Column, mask: Column) -> Column:
         part = lambda kept: F.when(F.size(kept) == 0, _EMPTY).otherwise(F.lower(F.right(F.hex(F.xxhash64(kept)), F.lit(DIGITS))))
-        return _bind(
-            F.filter(hashes, lambda x: residue(x) < PARTS),
-            lambda some: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: part(F.filter(some, lambda x: residue(x) == k))), ""),
-        )
+        some = F.filter(hashes, lambda x: F.shiftright(x, LEXICON_BITS).bitwiseAND(mask) < PARTS)
+        at = lambda some: F.transform(some, lambda x: F.shiftright(x, LEXICON_BITS).bitwiseAND(mask))
+        joined = lambda some, at: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: part(F.filter(some, lambda x, i: F.get(at, i) == k))), "")
+        return _bind(some, lambda some: _bind(at(some), lambda at: joined(some, at)))
 
     def whole(hashes: Column) -> Column:
         level = F.greatest(F.lit(0), F.floor(F.log2(F.size(hashes) / PARTS))).cast("int")
-        coarse = F.expr(f"{PARTS}L") * F.pow(F.lit(2.0), level).cast("long")
-        return F.when(F.size(hashes) == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lpad(level.cast("string"), 2, "0"), parts(hashes, coarse), parts(hashes, coarse * 2)))
+        # residues are low bits: the moduli are powers of two, worked out once a text
+        mask = lambda level: F.call_function("shiftleft", F.expr(f"{PARTS}L"), level) - 1
+        both = lambda level: F.concat(
+            F.lpad(level.cast("string"), 2, "0"),
+            _bind(mask(level), lambda m: parts(hashes, m)),
+            _bind(mask(level + 1), lambda m: parts(hashes, m)),
+        )
+        return F.when(F.size(hashes) > 0, _bind(level, both))
 
-    banded = F.transform(F.sort_array(F.filter(terms(text), in_lexicon)), lambda t: F.xxhash64(t))
-    return F.coalesce(_bind(banded, whole), F.concat(F.lit("--"), F.sha2(text, 256)))
+    hashed = F.transform(terms(text), lambda t: F.xxhash64(t))
+    return F.coalesce(_bind(F.sort_array(F.filter(hashed, in_lexicon)), whole), F.concat(F.lit("--"), F.sha2(text, 256)))
 
 
 def likeness(a: Column, b: Column) -> Column:

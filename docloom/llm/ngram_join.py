@@ -10,7 +10,7 @@
 4. Two alike documents share a token among their rarest few, whatever else they hold. Survivors meet in a tile for each
    such token. Tiles hold hashed bitmap signatures and are sorted by set size; sizes and bit counts bound the overlap
    from above, blocks of sizes too far apart are passed over, and large tiles are cut into pairs of blocks.
-5. Pairs that the bounds allow are checked by intersecting the sorted token arrays: first the best pair of every two
+5. Pairs that the bounds allow are checked by intersecting the sorted token arrays: first pairs that span a tile's
    labels, then, under the labels that result, every pair left.
 
 Edge cases: a null or empty text has an empty set and is linked with nothing; a text of fewer words than a shingle is
@@ -40,6 +40,8 @@ SIGNATURE_WORDS = 16
 BLOCK = 2048
 #: A batch's documents are numbered in 16 bits.
 MOST_DOCS = 60_000
+#: Turns of joining labels by spanning pairs before every pair left is checked.
+SPANNING_TURNS = 2
 _SEEDS = spread(1 << 40, 4)
 
 
@@ -214,33 +216,51 @@ def signatures(survivors: DataFrame) -> DataFrame:
     return survivors.select("doc_id", "n_shingles", "tokens").mapInArrow(run, "s_doc long, n long, held long, bits binary")
 
 
-def _compare(rows: list[tuple], percent: int) -> list[tuple[int, int, int, int, int]]:
-    """Pairs (a, b, label a, label b, bound) of a tile that sizes and bit counts allow; rows: side, doc, label, n, held, bits."""
+def _compare(rows: list[tuple], percent: int, thin: int | None) -> list[tuple[int, int, int, int, int]]:
+    """Pairs (a, b, label a, label b, bound) of a tile that sizes and bit counts allow; rows: side, doc, label, n, held, bits.
+
+    All such pairs under different labels, or with a number for ``thin`` those that span the labels: a pair found joins
+    its labels at once, as if it were a link, so a tile gives fewer pairs than it has labels. The number sets the order.
+    """
     rows = sorted(rows, key=lambda r: r[3])
-    n = np.array([r[3] for r in rows])
-    doc, label, held = (np.array([r[i] for r in rows]) for i in (1, 2, 4))
-    side = np.array([r[0] for r in rows])
+    side, doc, label, n, held = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(5))
     both = 0 in side and 1 in side
     maps = np.frombuffer(b"".join(r[5] for r in rows), U).reshape(len(rows), -1)
     reach = np.searchsorted(n, n * 100 // percent, side="right")
+    start = np.searchsorted(n, -(-n * percent // 100), side="left")
+    group = label.copy()
+    order = np.arange(len(rows)) if thin is None else np.argsort(mix(doc.view(U) ^ U(thin)))
     out = []
-    for i in range(len(rows)):
-        j = np.arange(i + 1, reach[i])
-        keep = label[j] != label[i]
+    for i in order:
+        if thin is not None and (group == group[i]).all():
+            break
+        j = np.arange(i + 1 if thin is None else start[i], reach[i])
+        keep = group[j] != group[i]
         if both:
             keep &= side[j] != side[i]
         j = j[keep]
         if not len(j):
             continue
         most = np.minimum(held[i] - np.bitwise_count(maps[i] & ~maps[j]).sum(axis=1, dtype=np.int64), held[j] - np.bitwise_count(maps[j] & ~maps[i]).sum(axis=1, dtype=np.int64))
-        for k in np.flatnonzero((100 + percent) * most >= percent * (n[i] + n[j])):
-            a, b = (i, j[k]) if doc[i] < doc[j[k]] else (j[k], i)
-            out.append((int(doc[a]), int(doc[b]), int(label[a]), int(label[b]), int(most[k])))
+        good = (100 + percent) * most >= percent * (n[i] + n[j])
+        j, most = j[good], most[good]
+        if thin is not None and len(j):
+            best = np.argsort(-most, kind="stable")
+            j, most = j[best], most[best]
+            joined, first = np.unique(group[j], return_index=True)
+            j, most = j[first], most[first]
+            group[np.isin(group, joined)] = group[i]
+        for k, m in zip(j.tolist(), most.tolist(), strict=True):
+            a, b = (i, k) if doc[i] < doc[k] else (k, i)
+            out.append((int(doc[a]), int(doc[b]), int(label[a]), int(label[b]), m))
     return out
 
 
-def candidate_pairs(survivors: DataFrame, signed: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b, la, lb, bound), under different labels, that share one of their rarest tokens and pass the bounds."""
+def candidate_pairs(survivors: DataFrame, signed: DataFrame, labels: DataFrame, percent: int, thin: int | None = None) -> DataFrame:
+    """Distinct pairs (a, b, la, lb, bound), under different labels, that share one of their rarest tokens and pass the bounds.
+
+    All of them, or with a number for ``thin`` pairs that span the labels of each tile.
+    """
     held = F.size("tokens")
     # n - ceil(percent n / 100) + 1 rarest tokens of the whole set; those of one document come first and are left out
     rarest = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1 - (F.col("n_shingles") - held)
@@ -263,12 +283,12 @@ def candidate_pairs(survivors: DataFrame, signed: DataFrame, labels: DataFrame,
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if r[:3] != tile:
                     if len(rows) > 1:
-                        pairs += _compare(rows, percent)
+                        pairs += _compare(rows, percent, thin)
                     tile, rows = r[:3], []
                 rows.append(r[3:])
             yield pack(pairs)
         if len(rows) > 1:
-            yield pack(_compare(rows, percent))
+            yield pack(_compare(rows, percent, thin))
 
     placed = tiles.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     return placed.mapInArrow(run, "a long, b long, la long, lb long, bound long").distinct()
@@ -293,7 +313,7 @@ def verify(pairs: DataFrame, survivors: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest id that links reach."""
     spark = docs.sparkSession
-    buckets = min(4096, max(16, shuffle_partitions(spark)))
+    buckets = max(16, shuffle_partitions(spark))
     sent = send_tokens(docs.where("doc_id is not null"), shingle, buckets)
     gathered = stored(gather_tokens(shared_tokens(sent), percent))
     slim = gathered.select("doc_id", "n_shingles", "key")
@@ -303,12 +323,16 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 75) ->
 
     links = stored(family_links(survivors, percent))
     labels = stored(connected_components(links))
-    # the best pair of every two labels first: where it links, the rest of the two labels' pairs need no check
-    pairs = candidate_pairs(survivors, signed, labels, percent)
-    pair = [F.least("la", "lb"), F.greatest("la", "lb")]
-    best = pairs.groupBy(*pair).agg(F.max_by(F.struct("a", "b"), F.struct("bound", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b")
-    links = stored(links.union(verify(best, survivors, percent)))
-    labels = stored(connected_components(links))
+    # pairs that span the labels first: where they are links, the rest of the labels' pairs need no check
+    for turn in range(SPANNING_TURNS):
+        pairs = candidate_pairs(survivors, signed, labels, percent, turn)
+        pair = [F.least("la", "lb"), F.greatest("la", "lb")]
+        best = pairs.groupBy(*pair).agg(F.max_by(F.struct("a", "b"), F.struct("bound", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b")
+        found = stored(verify(best, survivors, percent))
+        if found.isEmpty():
+            break
+        links = stored(links.union(found))
+        labels = stored(connected_components(links))
     rest = verify(candidate_pairs(survivors, signed, labels, percent), survivors, percent)
     links = stored(links.union(rest))
     labels = connected_components(links)

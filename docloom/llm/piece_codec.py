@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import pyarrow as pa
@@ -30,13 +31,14 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: A marked word: marks, then anything but marks. No piece has a mark after another character.
 _MARKED = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_MARKED_LINES = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _UNIGRAM, _NORMAL, _BYTE = 1, 1, 6
 
 
 class PieceCodec:
     """Encoder and decoder of one model file; remembers the words it has met, up to ``most_words``."""
 
-    def __init__(self, path: str, most_words: int = 200_000) -> None:
+    def __init__(self, path: str, most_words: int = 600_000) -> None:
         model = proto.ModelProto()
         model.ParseFromString(Path(path).read_bytes())
         spec = model.normalizer_spec
@@ -51,37 +53,44 @@ class PieceCodec:
         self.score = {p.piece: p.score for p in model.pieces if p.type == _NORMAL}
         self.unknown_score = min(self.score.values()) - 10
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == _BYTE}
-        self.byte_of = {i: b for b, i in self.byte.items()}
+        byte_of = {i: b for b, i in self.byte.items()}
+        self.raw = [bytes([byte_of[i]]) if i in byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        # a line feed that no piece holds stands alone, so words end there as well
+        self.marked = _MARKED if any("\n" in p for p in self.ids) else _MARKED_LINES
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == 2)
-        self.longest = max(map(len, self.ids))
+        self.tails = {p[i:] for p in self.ids for i in range(len(p))}  # a piece, or what a longer one ends in
         self.most_words, self.known = most_words, {}
-        self.borders: dict[tuple[str, str], bool] = {}
+        self.known_borders: dict[str, dict[str, bool]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Byte-pair merges of a short text, best score first, leftmost first among equals."""
+        none, get = float("-inf"), self.score.get
         parts = list(text)
-        while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda i: (self.score.get(parts[i] + parts[i + 1], float("-inf")), -i))
-            if parts[best] + parts[best + 1] not in self.score:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        gains = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while gains and (top := max(gains)) > none:
+            i = gains.index(top)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del gains[i]
+            if i:
+                gains[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(gains):
+                gains[i] = get(parts[i] + parts[i + 1], none)
         return parts
 
-    def border(self, left: str, right: str) -> bool:
-        """Whether merges of the two pieces' characters end in just these pieces."""
-        out = self.borders.get((left, right))
-        if out is None:
-            if len(self.borders) > 1_000_000:
-                self.borders.clear()
-            out = self.borders[left, right] = self.merged(left + right) == ([left, right] if left else [right])
-        return out
+    def borders(self, right: str) -> dict[str, bool]:
+        """By the piece to its left: whether merges of the two pieces' characters end in just these pieces."""
+        known = self.known_borders.get(right)
+        if known is None:
+            known = self.known_borders[right] = {"": self.merged(right) == [right]}
+        return known
 
     def forward(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of each of the distinct words, by one walk through their trie."""
         out: dict[str, list[int]] = {}
         last, best = [""], [0.0]  # at each position of the word: the last piece up to there, the best score
         before = ""
-        ids, score, unigram = self.ids, self.score, self.unigram
+        ids, score, tails, unigram = self.ids, self.score, self.tails, self.unigram
+        known_borders, merged = self.known_borders, self.merged
         for word in sorted(words):
             shared = 0
             for x, y in zip(before, word, strict=False):
@@ -91,16 +100,25 @@ class PieceCodec:
             del last[shared + 1 :], best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 found, top = "", float("-inf")
-                for start in range(max(0, end - self.longest), end):
-                    piece = word[start:end]
-                    if piece not in ids and start < end - 1:
-                        continue
-                    if unigram:
-                        sum_ = best[start] + score.get(piece, self.unknown_score)
-                        if sum_ > top:
-                            found, top = piece, sum_
-                    elif self.border(last[start], piece):
-                        found, top = piece, 0.0
+                start = end - 1
+                piece = word[start:end]
+                while True:
+                    # a single character can always stand alone, as itself or as bytes
+                    if piece in ids or start == end - 1:
+                        left = last[start]
+                        if unigram:
+                            total = best[start] + score.get(piece, self.unknown_score)
+                            if total > top:
+                                found, top = piece, total
+                        else:
+                            fits = (known_borders.get(piece) or self.borders(piece)).get(left)
+                            if fits is None:
+                                fits = known_borders[piece][left] = merged(left + piece) == [left, piece]
+                            if fits:
+                                found, top = piece, 0.0
+                                break
+                    start -= 1
+                    if start < 0 or (piece := word[start:end]) not in tails:
                         break
                 last.append(found)
                 best.append(top)
@@ -115,7 +133,7 @@ class PieceCodec:
         return out
 
     def words(self, text: str | None) -> list[str]:
-        return _MARKED.findall(self.prefix + text.replace(" ", MARK)) if text else []
+        return self.marked.findall(self.prefix + text.replace(" ", MARK)) if text else []
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         split = [self.words(t) for t in texts]
@@ -123,15 +141,14 @@ class PieceCodec:
         if len(self.known) + len(missing) > self.most_words:
             self.known = {}
             missing = set().union(*split)
+        if sum(map(len, self.known_borders.values())) > self.most_words * 4:
+            self.known_borders.clear()
         self.known |= self.forward(missing)
-        known = self.known
-        return [[i for w in ws for i in known[w]] for ws in split]
+        known = self.known.__getitem__
+        return [list(chain.from_iterable(map(known, ws))) for ws in split]
 
     def decode(self, ids: list[int]) -> str:
-        out: list[bytes] = []
-        for i in ids:
-            out.append(bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].encode())
-        text = b"".join(out).decode(errors="replace").replace(MARK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")
         return text[len(self.prefix) :] if text.startswith(" ") else text
 
 

@@ -43,8 +43,9 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: number of pieces, digest of the ids as comma-joined text, and whether decoding gives the text back."""
+    """Per document: number of pieces, digest of the ids as little-endian 32-bit integers, and whether decoding gives the text back."""
     import hashlib
+    from array import array
 
     import pyarrow as pa
 
@@ -58,7 +59,7 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         same = [tool.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
         return [
             pa.array([len(i) for i in ids], pa.int64()),
-            pa.array([hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i in ids]),
+            pa.array([hashlib.sha256(array("i", i).tobytes()).hexdigest() for i in ids]),
             pa.array(same, pa.bool_()),
         ]
 

@@ -99,7 +99,8 @@ def _mixed(docs: DataFrame, seed: str, keep: list[str], shares: dict) -> DataFra
     bounds = source_bounds(slim, **shares)
     bounds = bounds.select(*(F.col(c).alias(f"__mix_{c}") for c in bounds.columns))
     own = lambda c: F.col(f"__mix_{c}")
-    met = keyed(docs, seed, keep).join(bounds, F.col("source").eqNullSafe(own("b_source")))
+    rows = slim if set(keep) <= set(slim.columns) else keyed(docs, seed, keep)
+    met = rows.join(bounds, F.col("source").eqNullSafe(own("b_source")))
     low = F.lit(-(1 << 63))
     at_bound = (own("key") < own("last_key")) | ((own("key") == own("last_key")) & (F.coalesce("doc_id", low) <= F.coalesce(own("last_id"), low)))
     drawn = (own("range") < own("last_range")) | ((own("range") == own("last_range")) & at_bound)
