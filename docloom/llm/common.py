@@ -54,22 +54,27 @@ def with_text_columns(
     make: Callable[[pa.RecordBatch], list],
     keep: list[str] | None = None,
     text: str = "text",
+    end: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Columns computed from whole texts, batch by batch, beside the columns ``keep`` (all but the text if None).
 
-    ``make`` gets a run of rows and returns one array or list per field.
+    ``make`` gets a run of rows and returns one array or list per field. ``end`` is called when a task is done.
     """
     keep = [c for c in df.columns if c != text] if keep is None else keep
     schema = T.StructType([df.schema[c] for c in keep] + fields)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text):
-                made = make(part)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in keep] + [x if isinstance(x, pa.Array) else pa.array(x) for x in made],
-                    names=[*keep, *(f.name for f in fields)],
-                )
+        try:
+            for batch in batches:
+                for part in slices(batch, text):
+                    made = make(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(c) for c in keep] + [x if isinstance(x, pa.Array) else pa.array(x) for x in made],
+                        names=[*keep, *(f.name for f in fields)],
+                    )
+        finally:
+            if end is not None:
+                end()
 
     return df.mapInArrow(run, schema)
 

@@ -38,8 +38,17 @@ TOKEN_BITS = 48
 SIGNATURE_WORDS = 16
 #: Rows of a tile that are compared in one piece.
 BLOCK = 2048
-#: A batch's documents are numbered in 16 bits.
-MOST_DOCS = 60_000
+#: A batch's documents are numbered in 16 bits, and their text is sorted as tokens in one piece.
+MOST_DOCS, BATCH_BYTES = 60_000, 12 << 20
+
+
+def token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in runs that are numbered and sorted together."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, MOST_DOCS):
+            yield from slices(whole.slice(first, MOST_DOCS), limit=BATCH_BYTES)
+
+
 #: Turns of joining labels by spanning pairs before every pair left is checked.
 SPANNING_TURNS = 2
 _SEEDS = spread(1 << 40, 4)
@@ -72,38 +81,34 @@ def send_tokens(docs: DataFrame, shingle: int, buckets: int) -> DataFrame:
     """For each batch of documents a row for each range of tokens, and one with its ids, set sizes and text digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = 0
         edges = np.array([(i << TOKEN_BITS) // buckets for i in range(buckets + 1)], dtype=U)
-        for whole in batches:
-            for first in range(0, whole.num_rows, MOST_DOCS):
-                batch = whole.slice(first, MOST_DOCS)
-                name = (TaskContext.get().partitionId() << 32) | made
-                made += 1
-                tokens, owners, keys, base = [], [], [], 0
-                for part in slices(batch):
-                    texts = [(t or b"").lower() for t in raw_texts(part)]
-                    words, counts = word_hashes(texts)
-                    h, o = shingle_hashes(words, counts, shingle)
-                    tokens.append(h >> U(64 - TOKEN_BITS))
-                    owners.append((o + base).astype(np.uint16))
-                    base += len(texts)
-                    keys += [hashlib.md5(b" ".join(t.split()), usedforsecurity=False).digest() for t in texts]
-                t, o = np.concatenate(tokens), np.concatenate(owners)
-                del tokens, owners
-                order = np.argsort(t, kind="stable")  # owners stay ascending among equal tokens
-                t, o = t[order], o[order]
-                fresh = np.ones(len(t), bool)
-                fresh[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
-                t, o = t[fresh], o[fresh]
-                sizes = np.bincount(o, minlength=batch.num_rows).astype(np.int32)
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                out = [(name % buckets, name, 0, 0, ids.tobytes(), sizes.tobytes(), b"".join(keys))]
-                cuts = np.searchsorted(t, edges)
-                for b in range(buckets):
-                    if cuts[b] < cuts[b + 1]:
-                        width, data = _pack(t[cuts[b] : cuts[b + 1]])
-                        out.append((b, name, 1, width, data, o[cuts[b] : cuts[b + 1]].tobytes(), None))
-                yield _rows(out)
+        for made, batch in enumerate(token_batches(batches)):
+            name = (TaskContext.get().partitionId() << 32) | made
+            tokens, owners, keys, base = [], [], [], 0
+            for part in slices(batch):
+                texts = [(t or b"").lower() for t in raw_texts(part)]
+                words, counts = word_hashes(texts)
+                h, o = shingle_hashes(words, counts, shingle)
+                tokens.append(h >> U(64 - TOKEN_BITS))
+                owners.append((o + base).astype(np.uint16))
+                base += len(texts)
+                keys += [hashlib.md5(b" ".join(t.split()), usedforsecurity=False).digest() for t in texts]
+            t, o = np.concatenate(tokens), np.concatenate(owners)
+            del tokens, owners
+            order = np.argsort(t, kind="stable")  # owners stay ascending among equal tokens
+            t, o = t[order], o[order]
+            fresh = np.ones(len(t), bool)
+            fresh[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
+            t, o = t[fresh], o[fresh]
+            sizes = np.bincount(o, minlength=batch.num_rows).astype(np.int32)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            out = [(name % buckets, name, 0, 0, ids.tobytes(), sizes.tobytes(), b"".join(keys))]
+            cuts = np.searchsorted(t, edges)
+            for b in range(buckets):
+                if cuts[b] < cuts[b + 1]:
+                    width, data = _pack(t[cuts[b] : cuts[b + 1]])
+                    out.append((b, name, 1, width, data, o[cuts[b] : cuts[b + 1]].tobytes(), None))
+            yield _rows(out)
 
     return docs.select("doc_id", "text").mapInArrow(run, _SENT)
 

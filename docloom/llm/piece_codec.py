@@ -15,11 +15,12 @@ holds U+2581 decodes with spaces in its place, as in the library; texts are enco
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -36,9 +37,13 @@ _UNIGRAM, _NORMAL, _BYTE = 1, 1, 6
 
 
 class PieceCodec:
-    """Encoder and decoder of one model file; remembers the words it has met, up to ``most_words``."""
+    """Encoder and decoder of one model file.
 
-    def __init__(self, path: str, most_words: int = 600_000) -> None:
+    It remembers words it has met, up to ``most_words`` and until ``forget``, and which pieces can meet, up to
+    ``most_borders``. Ids stand as little-endian 32-bit integers.
+    """
+
+    def __init__(self, path: str, most_words: int = 400_000, most_borders: int = 400_000) -> None:
         model = proto.ModelProto()
         model.ParseFromString(Path(path).read_bytes())
         spec = model.normalizer_spec
@@ -59,7 +64,8 @@ class PieceCodec:
         self.marked = _MARKED if any("\n" in p for p in self.ids) else _MARKED_LINES
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == 2)
         self.tails = {p[i:] for p in self.ids for i in range(len(p))}  # a piece, or what a longer one ends in
-        self.most_words, self.known = most_words, {}
+        self.most_words, self.most_borders = most_words, most_borders
+        self.known: dict[str, bytes] = {}
         self.known_borders: dict[str, dict[str, bool]] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -84,9 +90,9 @@ class PieceCodec:
             known = self.known_borders[right] = {"": self.merged(right) == [right]}
         return known
 
-    def forward(self, words: Iterable[str]) -> dict[str, list[int]]:
+    def forward(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of each of the distinct words, by one walk through their trie."""
-        out: dict[str, list[int]] = {}
+        out: dict[str, bytes] = {}
         last, best = [""], [0.0]  # at each position of the word: the last piece up to there, the best score
         before = ""
         ids, score, tails, unigram = self.ids, self.score, self.tails, self.unigram
@@ -128,26 +134,40 @@ class PieceCodec:
                 piece = last[end]
                 got[:0] = [ids[piece]] if piece in ids else [self.byte.get(b, self.unknown) for b in piece.encode()]
                 end -= len(piece)
-            out[word] = got
+            out[word] = array("i", got).tobytes()
             before = word
         return out
 
     def words(self, text: str | None) -> list[str]:
         return self.marked.findall(self.prefix + text.replace(" ", MARK)) if text else []
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text."""
         split = [self.words(t) for t in texts]
         missing = set().union(*split) - self.known.keys()
         if len(self.known) + len(missing) > self.most_words:
             self.known = {}
             missing = set().union(*split)
-        if sum(map(len, self.known_borders.values())) > self.most_words * 4:
+        if sum(map(len, self.known_borders.values())) > self.most_borders:
             self.known_borders.clear()
         self.known |= self.forward(missing)
         known = self.known.__getitem__
-        return [list(chain.from_iterable(map(known, ws))) for ws in split]
+        return [b"".join(map(known, ws)) for ws in split]
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [array("i", x).tolist() for x in self.encode_bytes(texts)]
+
+    def encode_column(self, texts: list[str | None]) -> pa.ListArray:
+        made = self.encode_bytes(texts)
+        ends = np.cumsum([0, *(len(x) // 4 for x in made)], dtype="i4")
+        values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(made))])
+        return pa.ListArray.from_arrays(pa.array(ends), values)
+
+    def forget(self) -> None:
+        """Words are kept for one task, so that a worker that goes on to other work holds none."""
+        self.known = {}
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")
         return text[len(self.prefix) :] if text.startswith(" ") else text
 
@@ -162,9 +182,9 @@ def encode_documents(docs: DataFrame, model: str = DEFAULT_MODEL, keep: list[str
     kind = T.ArrayType(T.IntegerType())
 
     def make(batch: pa.RecordBatch) -> list:
-        return [pa.array(codec(model).encode(batch.column("text").to_pylist()), pa.list_(pa.int32()))]
+        return [codec(model).encode_column(batch.column("text").to_pylist())]
 
-    return with_text_columns(docs, [T.StructField("ids", kind)], make, keep)
+    return with_text_columns(docs, [T.StructField("ids", kind)], make, keep, end=lambda: codec(model).forget())
 
 
 def decode_documents(encoded: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:

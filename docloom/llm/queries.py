@@ -45,7 +45,6 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number of pieces, digest of the ids as little-endian 32-bit integers, and whether decoding gives the text back."""
     import hashlib
-    from array import array
 
     import pyarrow as pa
 
@@ -55,15 +54,15 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(batch: pa.RecordBatch) -> list:
         tool = codec(DEFAULT_MODEL)
         texts = batch.column("text").to_pylist()
-        ids = tool.encode(texts)
-        same = [tool.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
+        ids = tool.encode_bytes(texts)
+        same = [tool.decode(memoryview(i).cast("i")) == (t or "") for i, t in zip(ids, texts, strict=True)]
         return [
-            pa.array([len(i) for i in ids], pa.int64()),
-            pa.array([hashlib.sha256(array("i", i).tobytes()).hexdigest() for i in ids]),
+            pa.array([len(i) // 4 for i in ids], pa.int64()),
+            pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
             pa.array(same, pa.bool_()),
         ]
 
-    return with_text_columns(docs, fields, make, ["doc_id"])
+    return with_text_columns(docs, fields, make, ["doc_id"], end=lambda: codec(DEFAULT_MODEL).forget())
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
