@@ -11,7 +11,6 @@ any labels). Scores use the text alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -89,22 +88,15 @@ def class_moments(docs: DataFrame, labels: DataFrame, usable: Column) -> dict[in
     kind = [T.StructField("x", T.ArrayType(T.DoubleType()))]
     made = with_text_columns(docs.where(usable).select("doc_id", "text"), kind, lambda b: [pa.array(list(feature_matrix(b)), pa.list_(pa.float64()))])
     rows = made.join(known, F.col("doc_id") == F.col("labelled_id")).select("x", "quality")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, d, d))
-        for batch in batches:
-            x = np.asarray(batch.column("x").flatten()).reshape(-1, d - 1)
-            x = np.hstack([np.ones((len(x), 1)), x])
-            y = batch.column("quality").to_numpy()
-            for c in (0, 1):
-                sums[c] += x[y == c].T @ x[y == c]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["place", "value"])
-
-    summed = rows.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
-    out = np.zeros(2 * d * d)
-    for r in summed.collect():  # 2 (features + 1) squared rows
-        out[r["place"]] = r["value"]
-    return dict(enumerate(out.reshape(2, d, d)))
+    # one Python step a task: the sums are Spark's own
+    one_x = [F.lit(1.0), *(F.get("x", F.lit(i)) for i in range(d - 1))]
+    places = [(i, j) for i in range(d) for j in range(i, d)]
+    summed = rows.groupBy("quality").agg(*(F.sum(one_x[i] * one_x[j]).alias(f"m{i}_{j}") for i, j in places))
+    out = np.zeros((2, d, d))
+    for r in summed.collect():  # a row per class
+        for i, j in places:
+            out[r["quality"], i, j] = out[r["quality"], j, i] = r[f"m{i}_{j}"]
+    return dict(enumerate(out))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, towards_pooled: float = 0.1, towards_identity: float = 0.02) -> QualityModel:
