@@ -252,6 +252,26 @@ def test_repeated_passages_equal_a_plain_search(spark, data, texts):
         assert r.doc_id != r.other_id and len(shingles(a) & shingles(b)) >= 0.6 * min(len(shingles(a)), len(shingles(b)))
 
 
+def test_near_passages_are_found(spark):
+    """Each passage of 50 words has near copies with one word changed: likeness 0.80 to it, but 0.64 to each other."""
+    rng, made = random.Random(5), iter(range(10**9))
+    fresh = lambda n: [f"w{next(made)}" for _ in range(n)]
+    docs, pairs = {}, []
+    for family in range(400):
+        passage = fresh(50)
+        for k in range(1 if family < 300 else 4):
+            near = passage.copy()
+            near[10 * k + rng.randrange(8, 11)] = fresh(1)[0]
+            docs[len(docs)] = fresh(20) + near + fresh(20)
+            pairs.append((len(docs) - 1, family))
+        docs[len(docs)] = fresh(5) + passage + fresh(5)
+        pairs.append((len(docs) - 1, family))
+    rows = passages.repeated_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")).collect()
+    family_of = dict(pairs)
+    assert all(family_of[r.doc_id] == family_of[r.other_id] for r in rows)
+    assert {r.doc_id for r in rows} == set(docs)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 30), min_size=1, max_size=40), st.integers(1, 8))
 def test_compact_windows_cover_each_run_once(values, least):
