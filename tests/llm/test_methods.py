@@ -272,6 +272,19 @@ def test_near_passages_are_found(spark):
     assert {r.doc_id for r in rows} == set(docs)
 
 
+def test_exact_passages_are_found_beside_other_repeated_text(spark):
+    made = iter(range(10**9))
+    fresh = lambda n: [f"w{next(made)}" for _ in range(n)]
+    docs, there = [], {}
+    for _ in range(200):
+        a, b, c, d, passage = fresh(60), fresh(60), fresh(60), fresh(60), fresh(50)
+        there[len(docs)] = there[len(docs) + 1] = (60, 110)
+        docs += [a + passage + b, c + passage + d, a + fresh(9) + b, c + fresh(9) + d]
+    rows = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()
+    held = {r.doc_id for r in rows if r.doc_id in there and r.other_id in there and r.first_word <= 65 and r.end_word >= 105}
+    assert held == set(there)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 30), min_size=1, max_size=40), st.integers(1, 8))
 def test_compact_windows_cover_each_run_once(values, least):
