@@ -45,14 +45,15 @@ _HINTS = ("passw", "secret", "token", "api")
 
 #: Runs that may be keys.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Digests and identifiers that are no secrets: UUIDs, hex digests, numbers and dates, paths, names in snake, kebab or camel case.
+#: Digests and identifiers that are no secrets: UUIDs, hex digests, numbers and dates.
 KNOWN = re.compile(
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
     r"|(?:0x)?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})"
     r"|[0-9_+/=-]+"
-    r"|[a-z]+|[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*"
-    r"|/?[A-Za-z]+(?:[_/=+-]+[A-Za-z]+)*[_/=+-]*(?:[0-9]{1,4})?"
 )
+#: Paths and names in snake, kebab or camel case, and their words: no secrets if the vocabulary encodes the words well.
+NAME = re.compile(r"/?[A-Za-z]+(?:[_/=+-]+[A-Za-z]+)*[_/=+-]*(?:[0-9]{1,4})?")
+NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 @lru_cache(maxsize=2)
@@ -78,17 +79,23 @@ def base_spans(text: str) -> Iterator[tuple[int, int, int]]:
         yield m.start(), 2, m.end()
 
 
+def token_count(run: str, encoder: tiktoken.Encoding) -> int:
+    # long runs are judged in windows, so that a byte-pair merge of a very long run stays cheap
+    return sum(len(encoder.encode_ordinary(run[i : i + 256])) for i in range(0, len(run), 256))
+
+
 def random_spans(text: str, encoder: tiktoken.Encoding, most_chars_per_token: float) -> Iterator[tuple[int, int, int]]:
-    """Runs of key characters with digits and letters that the vocabulary encodes badly."""
+    """Runs of key characters that the vocabulary encodes badly."""
     for m in CANDIDATE.finditer(text):
         run = m[0]
-        digits = sum(map(run.count, "0123456789"))
-        if digits < 2 or digits == len(run) or KNOWN.fullmatch(run):
+        if KNOWN.fullmatch(run) or len(run) > most_chars_per_token * token_count(run, encoder):
             continue
-        # long runs are judged in windows, so that a byte-pair merge of a very long run stays cheap
-        tokens = sum(len(encoder.encode_ordinary(run[i : i + 256])) for i in range(0, len(run), 256))
-        if len(run) / tokens <= most_chars_per_token:
-            yield m.start(), 3, m.end()
+        if NAME.fullmatch(run):
+            # words in capitals cost more tokens than the same words in small letters
+            words = [w.lower() for w in NAME_WORD.findall(run)]
+            if sum(map(len, words)) > most_chars_per_token * sum(token_count(w, encoder) for w in words):
+                continue
+        yield m.start(), 3, m.end()
 
 
 def scan(text: str | None, vocabulary: str, most_chars_per_token: float) -> tuple[list[int], str, str]:
