@@ -98,6 +98,15 @@ def random_spans(text: str, encoder: tiktoken.Encoding, most_chars_per_token: fl
         yield m.start(), 3, m.end()
 
 
+def covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether ``spans``, in order of their starts, leave no place of [start, end) open."""
+    for s, _, e in spans:
+        if s > start:
+            break
+        start = max(start, e)
+    return start >= end
+
+
 def scan(text: str | None, vocabulary: str, most_chars_per_token: float) -> tuple[list[int], str, str]:
     """Counts of the base kinds, digest of the base spans, and all spans as text."""
     if not text:
@@ -106,9 +115,8 @@ def scan(text: str | None, vocabulary: str, most_chars_per_token: float) -> tupl
     found = base
     more = list(random_spans(text, encoding(vocabulary), most_chars_per_token))
     if more:
-        # a random run that overlaps a base span is the same secret
-        taken = [(s, e) for s, _, e in base]
-        found = sorted(base + [x for x in more if not any(s < x[2] and x[0] < e for s, e in taken)])
+        # a random run that base spans cover is the same secret; one that reaches beyond them is reported whole
+        found = sorted(base + [x for x in more if not covered(x[0], x[2], base)])
     joined = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
     counts = [sum(k == i for _, k, _ in base) for i in range(3)]
     return counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(found)
