@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import map_batches
+
 #: The control strings.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _CONTROL = re.compile(r"(\\*)(" + "|".join(map(re.escape, CONTROLS)) + ")")
@@ -107,7 +109,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(made, pa.string())], names=["conv_id", "turn", "role", "rendered"])
 
     kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInArrow(run, f"conv_id {kind['conv_id']}, turn {kind['turn']}, role string, rendered string")
+    return map_batches(rows, run, f"conv_id {kind['conv_id']}, turn {kind['turn']}, role string, rendered string")
 
 
 class _Digest:
@@ -154,4 +156,4 @@ def read_back(turns: DataFrame) -> DataFrame:
             yield pack([open_one.row()])
 
     ordered = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "rendered").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "rendered")
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_batches(ordered, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

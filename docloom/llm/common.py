@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 SLICE_BYTES = 1 << 20
+#: Bytes of a batch that goes to Python or comes back.
+BATCH, _BATCH_LIMIT = str(8 << 20), "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,18 +80,76 @@ def with_text_columns(
             if end is not None:
                 end()
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of the session's own only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a folder of its own, once; on a cluster, where executors share no local
+    folder, it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or "/tmp/docloom-checkpoints"
+    if named:
+        return named
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return _own_folder(spark.sparkContext.applicationId)
+
+
+@lru_cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+class Scratch:
+    """Intermediate tables of one run in the shared folder, dropped as soon as nothing reads them any more.
+
+    What the run's result is read from stays until ``close``, which its caller can call once the result is written.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root = spark, f"{shared_folder(spark)}/docloom-{uuid.uuid4().hex}"
+        self.tables: dict[int, tuple[DataFrame, str]] = {}
+
+    def store(self, df: DataFrame) -> DataFrame:
+        """The rows as a Parquet table, read again: lineage ends there and survives lost executors."""
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[id(back)] = back, path
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            self._delete(self.tables.pop(id(t))[1])
+
+    def close(self) -> None:
+        self._delete(self.root)
+        self.tables.clear()
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read again: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/docloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """One intermediate table that the caller's result is read from."""
+    return Scratch(df.sparkSession).store(df)
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with batches of bounded size.
+
+    Spark fills batches up to 64 MB unless told otherwise, and each task holds several; a session that has not set the
+    bound itself gets ``BATCH``.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_LIMIT) in ("64m", "64MB", "67108864b", "67108864"):
+        conf.set(_BATCH_LIMIT, BATCH)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds none
+
+    return df.mapInArrow(bounded, schema)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stored
+from docloom.llm.common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,20 +27,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for each node that an edge names; the component is the smallest node reachable.
+def connected_components(edges: DataFrame, tmp: Scratch, most_rounds: int = 60) -> DataFrame:
+    """(node, component) for each node that an edge names, a table of ``tmp``; the component is the smallest node reachable.
 
     ``edges``: two integer columns. Loops and repeated edges are allowed; without edges the result is empty.
     """
-    now = stored(edges.toDF("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = tmp.store(edges.toDF("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(most_rounds):
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if tuple(seen) == mark or not seen["n"]:
             break
-        mark = tuple(seen)
-        now = stored(_small_star(_large_star(now)))
+        mark, before = tuple(seen), now
+        now = tmp.store(_small_star(_large_star(now)))
+        tmp.drop(before)
     else:
         raise RuntimeError(f"components have not settled in {most_rounds} rounds")
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return leaves.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = tmp.store(leaves.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    tmp.drop(now)
+    return out

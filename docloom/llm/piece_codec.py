@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from docloom.llm.common import with_text_columns
+from docloom.llm.common import map_batches, with_text_columns
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -128,12 +128,16 @@ class PieceCodec:
                         break
                 last.append(found)
                 best.append(top)
-            got: list[int] = []
+            got: list[int] = []  # from the last piece back
             end = len(word)
             while end:
                 piece = last[end]
-                got[:0] = [ids[piece]] if piece in ids else [self.byte.get(b, self.unknown) for b in piece.encode()]
+                if piece in ids:
+                    got.append(ids[piece])
+                else:
+                    got += [self.byte.get(b, self.unknown) for b in reversed(piece.encode())]
                 end -= len(piece)
+            got.reverse()
             out[word] = array("i", got).tobytes()
             before = word
         return out
@@ -164,8 +168,10 @@ class PieceCodec:
         return pa.ListArray.from_arrays(pa.array(ends), values)
 
     def forget(self) -> None:
-        """Words are kept for one task, so that a worker that goes on to other work holds none."""
+        """Words are kept for one task, so that a worker that goes on to other work holds none, nor many borders."""
         self.known = {}
+        if sum(map(len, self.known_borders.values())) > self.most_borders // 4:
+            self.known_borders.clear()
 
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")
@@ -196,4 +202,4 @@ def decode_documents(encoded: DataFrame, model: str = DEFAULT_MODEL) -> DataFram
             texts = [None if x is None else codec(model).decode(x) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return encoded.mapInArrow(run, T.StructType([*(encoded.schema[c] for c in keep), T.StructField("text", T.StringType())]))
+    return map_batches(encoded, run, T.StructType([*(encoded.schema[c] for c in keep), T.StructField("text", T.StringType())]))

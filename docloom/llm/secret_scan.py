@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -22,22 +23,14 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docloom.llm.common import with_text_columns
+from docloom.llm.common import map_batches, with_text_columns
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 #: The patterns of the base scan, in the order in which spans that start alike are listed.
 KINDS = ("assign", "access", "hex", "random")
-#: ASCII letters in either case; (?i) would also take letters such as the long s.
-_EITHER = "".join
-ASSIGN = re.compile(
-    "("
-    + "|".join(
-        _EITHER(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
-        for word in ("password", "passwd", "secret", "token", "api_?key")
-    )
-    + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-)
+#: In either case, of ASCII letters alone: without (?a), (?i) would also take letters such as the long s.
+ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: A cheap test that holds wherever ASSIGN can match.
@@ -98,13 +91,21 @@ def random_spans(text: str, encoder: tiktoken.Encoding, most_chars_per_token: fl
         yield m.start(), 3, m.end()
 
 
-def covered(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
-    """Whether ``spans``, in order of their starts, leave no place of [start, end) open."""
+def merged(spans: list[tuple[int, int, int]]) -> list[list[int]]:
+    """[start, end] of the stretches that spans, in order of their starts, cover without a gap."""
+    out: list[list[int]] = []
     for s, _, e in spans:
-        if s > start:
-            break
-        start = max(start, e)
-    return start >= end
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def covered(start: int, end: int, stretches: list[list[int]]) -> bool:
+    """Whether one of the stretches, in order, holds all of [start, end)."""
+    at = bisect_right(stretches, [start, 1 << 62]) - 1
+    return at >= 0 and stretches[at][1] >= end
 
 
 def scan(text: str | None, vocabulary: str, most_chars_per_token: float) -> tuple[list[int], str, str]:
@@ -116,7 +117,8 @@ def scan(text: str | None, vocabulary: str, most_chars_per_token: float) -> tupl
     more = list(random_spans(text, encoding(vocabulary), most_chars_per_token))
     if more:
         # a random run that base spans cover is the same secret; one that reaches beyond them is reported whole
-        found = sorted(base + [x for x in more if not covered(x[0], x[2], base)])
+        stretches = merged(base)
+        found = sorted(base + [x for x in more if not covered(x[0], x[2], stretches)])
     joined = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
     counts = [sum(k == i for _, k, _ in base) for i in range(3)]
     return counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(found)
@@ -169,4 +171,4 @@ def redact_secrets(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> Dat
                 new["n_chars"] = pa.array(sizes, batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
