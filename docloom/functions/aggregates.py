@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from docloom.functions.columns import Value, col
 
@@ -60,11 +61,19 @@ def last_by(x: Value, order: Value) -> Column:
     return F.max_by(col(x), col(order))
 
 
-def top_n(x: Value, n: int, order: Value) -> Column:
-    """The n values of highest order. Of each task's rows only n are kept by Spark's own aggregate."""
-    return F.transform(F.slice(F.sort_array(F.collect_list(F.struct(col(order).alias("o"), col(x).alias("v"))), asc=False), 1, n), lambda s: s.v)
+def top_n(df: DataFrame, keys: list[str], x: str, n: int, order: str | None = None, name: str = "top", descending: bool = True) -> DataFrame:
+    """Per group an array of the n values of highest (or lowest) order, which is that of the values if none is given.
+
+    Rows are ranked first, and Spark cuts each task's groups to n rows before it shuffles them: no group is gathered.
+    NULLs are left out; a group of NULLs alone has an empty array.
+    """
+    by = F.col(order or x)
+    ranked = Window.partitionBy(*keys).orderBy(by.desc_nulls_last() if descending else by.asc_nulls_last(), F.col(x).desc() if descending else F.col(x).asc())
+    some = df.select(*keys, F.col(x).alias("_v"), F.row_number().over(ranked).alias("_i")).where(F.col("_i") <= n)
+    kept = F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("_i", "_v")))
+    return some.groupBy(*keys).agg(F.transform(F.sort_array(kept), lambda s: s["_v"]).alias(name))
 
 
 def avg_distinct(x: Value) -> Column:
-    distinct = F.collect_set(col(x))
-    return F.try_divide(F.reduce(distinct, F.lit(0.0), lambda a, e: a + e), F.size(distinct))
+    """Spark's own two-step distinct aggregate: no group's values are gathered."""
+    return F.try_divide(F.sum_distinct(col(x)), F.count_distinct(col(x)))

@@ -56,6 +56,47 @@ def is_null(variant: Column, path: str) -> Column:
     return found.isNull() | F.is_variant_null(found)
 
 
+#: For each type of the dialect the kinds that a variant's schema names.
+_KINDS = {
+    "null": "VOID", "bool": "BOOLEAN", "string": "STRING", "int": "(TINYINT|SMALLINT|INT)", "long": "BIGINT", "double": "(DOUBLE|FLOAT)", "decimal": "DECIMAL.*",
+    "date": "(DATE|TIMESTAMP.*)", "binData": "BINARY", "array": "ARRAY.*", "object": "OBJECT.*", "number": "(TINYINT|SMALLINT|INT|BIGINT|DOUBLE|FLOAT|DECIMAL.*)",
+}
+
+
+def is_type(variant: Column, kind: str, path: str = "$") -> Column:
+    """``IS kind`` over an open document: never NULL. ``missing`` holds where the path is absent, ``null`` for a null there.
+
+    ``long`` holds for whole numbers beyond 32 bits alone: a variant keeps the narrowest type that JSON text needs.
+    """
+    found = F.variant_get(variant, path, "variant")
+    if kind == "missing":
+        return found.isNull()
+    named = F.schema_of_variant(found)
+    if kind in ("int", "long"):
+        # parse_json gives every whole number the type BIGINT in its schema, so the value tells the two apart
+        small = F.try_variant_get(found, "$", "int").isNotNull()
+        return F.coalesce(named.rlike("^(TINYINT|SMALLINT|INT|BIGINT)$") & (small if kind == "int" else ~small), F.lit(False))
+    return F.coalesce(named.rlike(f"^{_KINDS[kind]}$"), F.lit(False))
+
+
+def computed_field(doc: Column, kind: T.DataType, name: Column) -> Column:
+    """``doc[name]``: the field that an expression names, NULL where there is none.
+
+    A map is looked up; a variant is read by a path made of the name; of a struct, whose fields may differ in type, the
+    value comes as a variant.
+    """
+    if isinstance(kind, T.MapType):
+        return F.try_element_at(doc, name)
+    if isinstance(kind, T.VariantType):
+        # in a path, a name stands in quotes, which it may not hold itself
+        return F.when(~F.contains(name, F.lit("'")), F.try_variant_get(doc, F.concat(F.lit("$['"), name, F.lit("']")), "variant"))
+    assert isinstance(kind, T.StructType)
+    out = F.lit(None).cast("variant")
+    for f in kind.fieldNames():
+        out = F.when(name == f, F.to_variant_object(doc.getField(f)) if isinstance(kind[f].dataType, T.StructType | T.ArrayType) else doc.getField(f).cast("variant")).otherwise(out)
+    return out
+
+
 def sort_key(variant: Column) -> Column:
     """A struct that orders and groups values of any scalar type: NULL, numbers, strings, booleans, in that order."""
     kind = F.schema_of_variant(variant)

@@ -33,13 +33,18 @@ def _trig(f):
 sin, cos, tan = _trig(F.sin), _trig(F.cos), _trig(F.tan)
 
 
+def _whole(d: Column, f) -> Column:
+    """``f`` of a double where that is a long; beyond 2 ** 53 a double has no fraction, and what is not finite stays."""
+    return F.when(F.abs(d) < float(1 << 53), f(d).cast("double")).otherwise(d)
+
+
 def ceiling(x: Value, kind: str = "double") -> Column:
-    """Rounded up, in the type of the argument (``kind``)."""
-    return F.ceil(col(x)).cast(kind)
+    """Rounded up, in the type of the argument (``kind``); infinities and NaN stay what they are."""
+    return _whole(col(x).cast("double"), F.ceil).cast(kind) if kind == "double" else F.ceil(col(x)).cast(kind)
 
 
 def floor(x: Value, kind: str = "double") -> Column:
-    return F.floor(col(x)).cast(kind)
+    return _whole(col(x).cast("double"), F.floor).cast(kind) if kind == "double" else F.floor(col(x)).cast(kind)
 
 
 def log(x: Value, base: Value | None = None) -> Column:
@@ -87,4 +92,4 @@ def truncate(x: Value, digits: int = 0) -> Column:
     """Digits beyond ``digits`` cut off, towards 0."""
     scale = 10.0**digits
     d = col(x).cast("double")
-    return F.when(d < 0, F.ceil(d * scale)).otherwise(F.floor(d * scale)) / scale
+    return F.when(d < 0, _whole(d * scale, F.ceil)).otherwise(_whole(d * scale, F.floor)) / scale

@@ -71,18 +71,41 @@ def quantified(df: DataFrame, value: Column, op: str, quantifier: str, other: Da
         met = df.join(F.broadcast(other.agg(*stats)), F.lit(True), "left")  # one row
     lo, hi, f = F.col("_lo"), F.col("_hi"), _COMPARE[op]
     n, known = F.coalesce("_n", F.lit(0)), F.coalesce("_known", F.lit(0))
-    if op in ("=", "<>"):
-        raise ValueError("= ANY and <> ALL are IN and NOT IN: use semi_in and anti_in")
     any_ = quantifier.upper() in ("ANY", "SOME")
+    if (op, any_) in (("=", True), ("<>", False)):
+        return _membership(df, value, other, column, on, name, op == "=")
     edge = (hi if op in ("<", "<=") else lo) if any_ else (lo if op in ("<", "<=") else hi)
     met_edge = F.when(known > 0, f(value, edge))
-    if any_:
+    if op in ("=", "<>"):
+        # = ALL: every value is the least and the greatest one; <> ANY: one of those two differs
+        differs = F.when(known > 0, (value != lo) | (value != hi))
+        unknown = (known < n) | value.isNull()
+        out = F.when(n == 0, not any_).when(differs, any_).when(unknown, None).otherwise(not any_)
+    elif any_:
         out = F.when(n == 0, False).when(met_edge, True).when((known < n) | value.isNull(), None).otherwise(False)
     else:
         out = F.when(n == 0, True).when(~met_edge, False).when((known < n) | value.isNull(), None).otherwise(True)
     return met.withColumn(name, out).drop("_lo", "_hi", "_n", "_known")
 
 
+def _membership(df: DataFrame, value: Column, other: DataFrame, column: str, on: list[tuple[str, str]] | None, name: str, within: bool) -> DataFrame:
+    """``= ANY`` (``within``) or ``<> ALL`` as a value: a join with the distinct values, and with each group's counts."""
+    pairs = on or []
+    keys = [F.col(b).alias(f"_k{i}") for i, (_, b) in enumerate(pairs)]
+    of_group = [F.col(a) == F.col(f"_k{i}") for i, (a, _) in enumerate(pairs)]
+    names = [f"_k{i}" for i in range(len(pairs))]
+    values = other.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("_v")).distinct().withColumn("_hit", F.lit(True))
+    met = df.withColumn("_x", value).join(values, [F.col("_x") == F.col("_v"), *of_group], "left").drop("_v", *names)
+    counts = [F.count("*").alias("_n"), F.count(column).alias("_known")]
+    if pairs:
+        met = met.join(other.groupBy(*keys).agg(*counts), of_group, "left").drop(*names)
+    else:
+        met = met.join(F.broadcast(other.agg(*counts)), F.lit(True), "left")  # one row
+    n, known = F.coalesce("_n", F.lit(0)), F.coalesce("_known", F.lit(0))
+    out = F.when(n == 0, not within).when(F.col("_hit"), within).when((known < n) | F.col("_x").isNull(), None).otherwise(not within)
+    return met.withColumn(name, out).drop("_x", "_hit", "_n", "_known")
+
+
 def semi_in(df: DataFrame, column: str, other: DataFrame, other_column: str) -> DataFrame:
     """Rows whose value is in the other relation's column (``= ANY``)."""
     return df.join(other.select(F.col(other_column).alias("_v")), F.col(column) == F.col("_v"), "left_semi")

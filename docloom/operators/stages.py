@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.sources.intermediate import Scratch
+
 
 def add_fields(df: DataFrame, **fields: Column) -> DataFrame:
     return df.withColumns(fields)
@@ -37,29 +41,59 @@ def bucket_auto(df: DataFrame, value: str, buckets: int, accuracy: int = 10_000,
     """About equal groups by value, from approximate quantiles, so that rows are never ordered as a whole.
 
     Equal values share a group, so there may be fewer groups than asked for. Each has its least and greatest value.
+    NULLs come before all values, as in a sort: they count towards the first groups and have a group to themselves only
+    if they fill one; a group that holds some has NULL as its least value.
     """
-    cuts = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], accuracy)).first()[0] or []
+    n, nulls = df.agg(F.count("*"), F.count_if(F.col(value).isNull())).first()
+    shares = [(i * n / buckets - nulls) / (n - nulls) for i in range(1, buckets)] if n > nulls else []
+    cuts = df.agg(F.percentile_approx(value, [s for s in shares if s > 0], accuracy)).first()[0] if any(s > 0 for s in shares) else []
+    full = sum(s <= 0 for s in shares) > 0  # NULLs fill the first group
     place = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c < F.col(value))) if cuts else F.lit(0)
-    made = df.where(F.col(value).isNotNull()).groupBy(place.alias("bucket"))
-    return made.agg(F.min(value).alias("low"), F.max(value).alias("high"), *(c.alias(n) for n, c in measures.items()))
+    made = df.groupBy(F.when(F.col(value).isNull(), 0).otherwise(place + int(full)).alias("bucket"))
+    low = F.when(F.count(value) == F.count("*"), F.min(value))
+    return made.agg(low.alias("low"), F.max(value).alias("high"), *(c.alias(n) for n, c in measures.items()))
+
+
+#: Grid places that one row expands to at a time.
+_GRID = 10_000
 
 
-def densify(df: DataFrame, field: str, step: int, partition: list[str] | None = None, bounds: tuple | None = None) -> DataFrame:
-    """Rows for the values that are missing between a partition's least and greatest (or ``bounds``), other columns NULL.
+def densify(df: DataFrame, field: str, step: int, partition: list[str] | None = None, bounds: tuple | str = "partition", unit: str | None = None) -> DataFrame:
+    """Rows for the values of a grid that a partition lacks, other columns NULL; rows off the grid stay as they are.
 
-    Gaps are filled between neighbours, so that only missing rows are made.
+    The grid starts at the lower bound and has steps of ``step``, or of so many ``unit`` (second to year) for dates.
+    Bounds are a partition's own least and greatest value (``partition``), those of all rows (``full``), or a pair, the
+    upper end exclusive. Grids are laid out in stretches, so no row expands to more than ``_GRID`` places at once.
     """
-    keys = partition or []
-    after = F.lead(field).over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(field))
-    gaps = df.select(*keys, F.col(field).alias("_at"), after.alias("_next"))
-    if bounds is not None:
-        edges = df.groupBy(*keys).agg(F.min(field).alias("_lo"), F.max(field).alias("_hi"))
-        low = edges.select(*keys, F.lit(bounds[0] - step).cast("long").alias("_at"), F.col("_lo").cast("long").alias("_next"))
-        high = edges.select(*keys, F.col("_hi").cast("long").alias("_at"), F.lit(bounds[1]).cast("long").alias("_next"))
-        gaps = gaps.select(*keys, F.col("_at").cast("long"), F.col("_next").cast("long")).union(low).union(high)
-    new = gaps.where(F.col("_next") - F.col("_at") > step)
-    new = new.select(*keys, F.explode(F.sequence(F.col("_at") + step, F.col("_next") - 1, F.lit(step))).alias(field))
-    return df.unionByName(new.withColumn(field, F.col(field).cast(df.schema[field].dataType)), allowMissingColumns=True)
+    keys, kind = partition or [], df.schema[field].dataType
+    at = F.col(field)
+    if isinstance(bounds, tuple):
+        edges = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+        edges = edges.withColumns({"_lo": F.lit(bounds[0]).cast(kind), "_hi": F.lit(bounds[1]).cast(kind)})
+    elif bounds == "full" and keys:
+        whole = df.agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))  # one row
+        edges = df.select(*keys).distinct().join(F.broadcast(whole), F.lit(True))
+    else:
+        edges = df.groupBy(*keys).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    if unit is None:
+        place = lambda i: (F.col("_lo").cast("double") + i * step).cast(kind)
+        last = F.floor((F.col("_hi").cast("double") - F.col("_lo").cast("double")) / step)
+    else:
+        place = lambda i: F.timestamp_add(unit.upper(), (i * step).cast("int"), F.col("_lo")).cast(kind)
+        last = F.floor(F.timestamp_diff(unit.upper(), F.col("_lo"), F.col("_hi")) / step)
+    edges = edges.where("_lo is not null and _hi is not null").withColumn("_last", last.cast("long")).where("_last >= 0")
+    stretches = edges.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / _GRID))).alias("_s"))
+    places = F.sequence(F.col("_s") * _GRID, F.least(F.col("_last"), F.col("_s") * _GRID + _GRID - 1))
+    grid = stretches.repartition(*keys, "_s").select(*keys, "_hi", F.explode(places).alias("_i"))
+    low = edges.select(*keys, "_lo")
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys]
+    grid = grid.alias("g").join(low.alias("e"), same or F.lit(True)).select(*(F.col(f"g.{k}").alias(k) for k in keys), "_hi", place(F.col("_i")).alias(field))
+    if isinstance(bounds, tuple):
+        grid = grid.where(at < F.col("_hi"))
+    grid = grid.select(*keys, field)
+    there = df.select(*keys, field).distinct()
+    new = grid.alias("g").join(there.alias("t"), [F.col(f"g.{c}").eqNullSafe(F.col(f"t.{c}")) for c in [*keys, field]], "left_anti")
+    return df.unionByName(new, allowMissingColumns=True)
 
 
 def fill_value(df: DataFrame, **values) -> DataFrame:
@@ -88,14 +122,29 @@ def facet(df: DataFrame, **pipelines) -> dict[str, DataFrame]:
     return {n: f(df) for n, f in pipelines.items()}
 
 
-def lookup(df: DataFrame, other: DataFrame, local: str, foreign: str, name: str) -> DataFrame:
-    """Each row with the array of the other relation's documents of equal key; an empty array without any.
+def lookup(df: DataFrame, other: DataFrame, local: str | list[str], foreign: str | list[str], name: str, pipeline: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Each row with the array of the other relation's documents of equal key or keys; an empty array without any.
 
-    Documents are gathered per key before the join.
+    ``pipeline`` makes the documents from the other relation first, and has to keep the foreign columns. Documents are
+    gathered per key before the join.
     """
-    gathered = other.groupBy(F.col(foreign).alias("_key")).agg(F.sort_array(F.collect_list(F.struct(*other.columns))).alias(name))
+    local, foreign = ([x] if isinstance(x, str) else x for x in (local, foreign))
+    other = other if pipeline is None else pipeline(other)
+    keys = [f"_key{i}" for i in range(len(foreign))]
+    gathered = other.groupBy(*(F.col(f).alias(k) for f, k in zip(foreign, keys, strict=True))).agg(F.sort_array(F.collect_list(F.struct(*other.columns))).alias(name))
     none = F.array().cast(gathered.schema[name].dataType)
-    return df.join(gathered, F.col(local) == F.col("_key"), "left").withColumn(name, F.coalesce(name, none)).drop("_key")
+    met = df.join(gathered, [F.col(a) == F.col(k) for a, k in zip(local, keys, strict=True)], "left")
+    return met.withColumn(name, F.coalesce(name, none)).drop(*keys)
+
+
+def lookup_where(df: DataFrame, other: DataFrame, key: str, condition: Column, name: str) -> DataFrame:
+    """Each row, named by the distinct values of ``key``, with the other relation's documents for which a condition on both holds.
+
+    The condition should hold an equality, so that rows meet by a join on it.
+    """
+    met = df.join(other, condition).groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list(F.struct(*other.columns))).alias(name))
+    none = F.array().cast(met.schema[name].dataType)
+    return df.join(met, F.col(key) == F.col("_key"), "left").withColumn(name, F.coalesce(name, none)).drop("_key")
 
 
 def sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -110,14 +159,18 @@ def redact(df: DataFrame, keep: Column) -> DataFrame:
 def graph_lookup(df: DataFrame, edges: DataFrame, start: str, source: str, target: str, most_depth: int) -> DataFrame:
     """(start, node, depth): nodes reached from each start value over edges, by breadth; each node once, at its least depth.
 
-    The frontier is joined with the edges level by level, and cut from its lineage at each.
+    Each level is written to the shared folder and joined with the edges from there, so the plan of a level does not
+    hold those before it.
     """
-    links = edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).distinct()
-    reached = df.select(F.col(start).alias("start")).distinct().join(links, F.col("start") == F.col("_s")).select("start", F.col("_t").alias("node"), F.lit(0).alias("depth")).distinct()
-    frontier = reached
+    tmp = Scratch(df.sparkSession)
+    links = tmp.store(edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).distinct())
+    first = df.select(F.col(start).alias("start")).distinct().join(links, F.col("start") == F.col("_s"))
+    frontier = reached = tmp.store(first.select("start", F.col("_t").alias("node"), F.lit(0).alias("depth")).distinct())
     for depth in range(1, most_depth + 1):
         step = frontier.join(links, F.col("node") == F.col("_s")).select("start", F.col("_t").alias("node")).distinct()
-        frontier = step.join(reached.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        frontier = tmp.store(step.join(reached.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
         reached = reached.union(frontier)
     return reached
 

@@ -13,6 +13,18 @@ def ordered(partition: list[str], *order: Column | str) -> WindowSpec:
     return Window.partitionBy(*partition).orderBy(*order)
 
 
+#: Microseconds of the units that have a fixed length.
+_MICROS = {"week": 604_800_000_000, "day": 86_400_000_000, "hour": 3_600_000_000, "minute": 60_000_000, "second": 1_000_000, "millisecond": 1_000}
+
+
+def range_frame(partition: list[str], order: str, low: float | None, high: float | None, unit: str | None = None) -> WindowSpec:
+    """Rows whose ``order`` lies within [low, high] of a row's own, either end open if None; for a date in ``unit``s."""
+    at = F.unix_micros(F.col(order).cast("timestamp")) if unit else F.col(order)
+    size = _MICROS[unit] if unit else 1
+    edge = lambda x, open_: open_ if x is None else int(x * size) if unit else x
+    return Window.partitionBy(*partition).orderBy(at).rangeBetween(edge(low, Window.unboundedPreceding), edge(high, Window.unboundedFollowing))
+
+
 def rank(w: WindowSpec) -> Column:
     return F.rank().over(w)
 
@@ -61,8 +73,9 @@ def integral_step(x: str, at: str, w: WindowSpec) -> Column:
 def exp_moving_avg(x: str, alpha: float, w: WindowSpec) -> Column:
     """alpha times the value plus (1 - alpha) times the average before it, started by the first value.
 
-    Rows so far back that their weight is below the precision of a double are left out, so the frame is bounded.
+    A frame reaches back to where weights fall below 2 ** -53 of the whole, so what is left out changes the average by
+    less than a double's rounding does if values are of one size. It has about 37 / alpha rows for a small alpha.
     """
-    back = max(1, math.ceil(-40 / math.log2(1 - alpha)) if alpha < 1 else 1)
-    values = F.collect_list(F.col(x).cast("double")).over(w.rowsBetween(-back - 16, 0))
+    back = max(1, math.ceil(-53 / math.log2(1 - alpha)) if alpha < 1 else 1)
+    values = F.collect_list(F.col(x).cast("double")).over(w.rowsBetween(-back, 0))
     return F.reduce(F.slice(values, 2, 1_000_000), F.element_at(values, 1), lambda a, v: alpha * v + (1 - alpha) * a)

@@ -51,10 +51,34 @@ def expr_arrays(t):
 
 @query("""select user_id, quantile_cont(value, 0.5) as med, quantile_cont(value, 0.9) as p90, max(value, 2) as top2, min(value, 2) as low2, arg_max(event_type, event_id) as latest, round(covar_pop(value, event_id), 3) as cov from events group by 1""")
 def expr_accumulators(t):
-    return t("events").groupBy("user_id").agg(
-        F.percentile("value", F.lit(0.5)).alias("med"), F.percentile("value", F.lit(0.9)).alias("p90"), A.top_n("value", 2, "value").alias("top2"), X.min_n(F.collect_list("value"), 2).alias("low2"),
+    made = t("events").groupBy("user_id").agg(
+        F.percentile("value", F.lit(0.5)).alias("med"), F.percentile("value", F.lit(0.9)).alias("p90"),
         A.last_by("event_type", "event_id").alias("latest"), F.round(F.covar_pop("value", "event_id"), 3).alias("cov"),
     )
+    top = A.top_n(t("events"), ["user_id"], "value", 2, name="top2")
+    low = A.top_n(t("events"), ["user_id"], "value", 2, name="low2", descending=False)
+    return made.join(top, "user_id").join(low, "user_id").select("user_id", "med", "p90", "top2", "low2", "latest", "cov")
+
+
+@query("""select o_custkey, list_transform(s, lambda x: try_cast(x as integer)) as whole, list_filter(s, lambda x: x <> '1') as without, list_transform(d, lambda x: x.k) as keys, list_filter(n, lambda x: x is not null) as solid,
+    coalesce(list_product(list_filter(n, lambda x: x is not null)), 1) as times from (select o_custkey, list(o_orderkey::varchar order by o_orderkey) as s, list({'k': o_orderkey} order by o_orderkey) as d, list(nullif(o_orderkey % 3, 0)::double order by o_orderkey) as n from orders group by 1)""")
+def expr_arrays_more(t):
+    lists = t("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
+    lists = lists.select("o_custkey", X.map_("k", lambda x: x.cast("string")).alias("s"), X.map_("k", lambda x: F.struct(x.alias("k"))).alias("d"), X.map_("k", lambda x: F.nullif(x % 3, F.lit(0)).cast("double")).alias("n"))
+    return lists.select("o_custkey", X.cast("s", "int").alias("whole"), X.remove("s", "1").alias("without"), X.extract("d", "k").alias("keys"), X.compact("n").alias("solid"), X.product("n").alias("times"))
+
+
+@query("select event_id, year(ts) as sql_tsi_year, quarter(ts) as sql_tsi_quarter, month(ts) as sql_tsi_month, day(ts) as sql_tsi_day, dayofyear(ts) as dayofyear, dayofweek(ts) + 1 as dayofweek, 1 as moments, true as later from events")
+def expr_date_names_now(t):
+    parts = ("sql_tsi_year", "sql_tsi_quarter", "sql_tsi_month", "sql_tsi_day", "dayofyear", "dayofweek")
+    df = t("events").withColumn("now", dates.now())
+    moments = df.agg(F.count_distinct("now").cast("int").alias("moments"))
+    return df.join(F.broadcast(moments), F.lit(True)).select("event_id", *(dates.extract(p, "ts").alias(p) for p in parts), "moments", (C("now") > C("ts")).alias("later"))
+
+
+@query("select l_suppkey, avg(distinct l_quantity) as mean, sum(distinct l_quantity) as total from lineitem group by 1")
+def expr_distinct_aggregates(t):
+    return t("lineitem").groupBy("l_suppkey").agg(A.avg_distinct("l_quantity").alias("mean"), F.sum_distinct("l_quantity").alias("total"))
 
 
 @query("""select event_id, try_cast(strftime(ts, '%Y-%m-%d %H:%M:%S') as timestamp) as back, date_trunc('day', ts)::timestamp as d, ts - interval 3 hour as earlier, case when value > 10 then 'high' else coalesce(null, event_type) end as sw, value is null as missing,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import documents as Doc
 from docloom.operators import nested, stages
+from docloom.operators import predicates as P
 from docloom.operators import windows as W
 from docloom.plans.registry import query
 from docloom.sources import schemas
@@ -80,10 +81,10 @@ def stage_bucket(t):
     return stages.bucket(t("part"), C("p_size"), [0, 10, 25, 40], default=-1, n=F.count("*"), price=F.round(F.avg("p_retailprice"), 4))
 
 
-@query("select 4 as buckets, count(*) as n, min(p_retailprice) as low, max(p_retailprice) as high from part")
+@query("""with r as (select s_acctbal as x, row_number() over (order by s_acctbal) as i, count(*) over () as n from supplier), c as (select min(x) filter (where i >= 0.25 * n) as a, min(x) filter (where i >= 0.5 * n) as b, min(x) filter (where i >= 0.75 * n) as c from r)
+    select (a < x)::int + (b < x)::int + (c < x)::int as bucket, min(x) as low, max(x) as high, count(*) as n from r, c group by 1""")
 def stage_bucket_auto(t):
-    made = stages.bucket_auto(t("part"), "p_retailprice", 4, n=F.count("*"))
-    return made.agg(F.count("*").cast("int").alias("buckets"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return stages.bucket_auto(t("supplier"), "s_acctbal", 4, n=F.count("*"))
 
 
 @query("""with p as (select s_nationkey as k, min(s_suppkey) as lo, max(s_suppkey) as hi from supplier group by 1)
@@ -92,6 +93,78 @@ def stage_densify(t):
     return stages.densify(t("supplier").select(C("s_nationkey").alias("k"), "s_suppkey"), "s_suppkey", 1, ["k"])
 
 
+@query("""with b as (select user_id as k, date_trunc('hour', min(ts)) as lo, max(ts) as hi from events group by 1), g as (select k, unnest(generate_series(lo, hi, interval 6 hour)) as moment from b)
+    select k, count(*) as n, min(moment)::timestamp as low, max(moment)::timestamp as high from (select k, moment from g union select user_id, date_trunc('hour', ts) from events) group by 1""")
+def stage_densify_dates(t):
+    hours = t("events").select(C("user_id").alias("k"), F.date_trunc("hour", "ts").cast(t("events").schema["ts"].dataType).alias("at")).distinct()
+    made = stages.densify(hours, "at", 6, ["k"], unit="hour")
+    return made.groupBy("k").agg(F.count("*").alias("n"), F.min("at").cast("timestamp").alias("low"), F.max("at").cast("timestamp").alias("high"))
+
+
+@query("""select k, x from (select n_regionkey as k, n_nationkey as x from nation union select r_regionkey, unnest(range(0, 30, 4)) from region)""")
+def stage_densify_step(t):
+    return stages.densify(t("nation").select(C("n_regionkey").alias("k"), C("n_nationkey").alias("x")), "x", 4, ["k"], (0, 30))
+
+
+@query("""select s_suppkey, count(l_orderkey) as n, round(coalesce(sum(l_quantity), 0), 2) as quantity from supplier left join lineitem on l_suppkey = s_suppkey and l_returnflag = 'R' and l_linenumber = 1 and l_quantity > 40 group by 1""")
+def stage_lookup_pipeline(t):
+    some = lambda d: d.where("l_returnflag = 'R' and l_quantity > 40").select("l_suppkey", "l_linenumber", "l_orderkey", "l_quantity")
+    met = stages.lookup(t("supplier").withColumn("line", F.lit(1)), t("lineitem"), ["s_suppkey", "line"], ["l_suppkey", "l_linenumber"], "lines", some)
+    total = F.reduce(F.transform("lines", lambda x: x.l_quantity), F.lit(0.0), lambda a, x: a + x)
+    return met.select("s_suppkey", F.size("lines").cast("long").alias("n"), F.round(total, 2).alias("quantity"))
+
+
+@query("select c_custkey, count(s_suppkey) as n, min(s_suppkey) as least from customer left join supplier on s_nationkey = c_nationkey and s_acctbal > c_acctbal group by 1")
+def stage_lookup_condition(t):
+    richer = (C("s_nationkey") == C("c_nationkey")) & (C("s_acctbal") > C("c_acctbal"))
+    met = stages.lookup_where(t("customer"), t("supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), "c_custkey", richer, "found")
+    return met.select("c_custkey", F.size("found").cast("long").alias("n"), F.array_min(F.transform("found", lambda x: x.s_suppkey)).alias("least"))
+
+
+@query("select n_name as name, n_nationkey * 2 as twice from nation where n_regionkey <> 1")
+def stage_replace_redact(t):
+    kept = stages.redact(t("nation"), C("n_regionkey") != 1)
+    return stages.replace_with(kept, Doc.document(name=C("n_name"), twice=C("n_nationkey") * 2))
+
+
+@query("select n_nationkey, n_name, n_regionkey + 1 as next, 'x' as tag from nation")
+def stage_add_fields(t):
+    return stages.add_fields(t("nation"), next=C("n_regionkey") + 1, tag=F.lit("x")).select("n_nationkey", "n_name", "next", "tag")
+
+
+@query("""select o_custkey, list_has_all(a, ['F', 'O']) as both_, len(a) = 2 as two, len(list_filter(k, lambda x: x > 200000)) > 0 as large from (select o_custkey, list(o_orderstatus) as a, list(o_totalprice) as k from orders group by 1)""")
+def match_arrays(t):
+    a = t("orders").groupBy("o_custkey").agg(F.collect_list("o_orderstatus").alias("a"), F.collect_list("o_totalprice").alias("k"))
+    return a.select("o_custkey", P.has_all("a", "F", "O").alias("both_"), P.size_is("a", 2).alias("two"), P.elem_match("k", lambda x: x > 200000).alias("large"))
+
+
+_KINDS = ("int", "long", "double", "string", "bool", "null", "missing", "array", "object", "number")
+_VALUES = {"int": "7", "long": "5000000000", "double": "1.5e300", "string": '"7"', "bool": "true", "null": "null", "missing": None, "array": "[1]", "object": '{"a": 1}'}
+
+
+@query("select * from (values " + ", ".join(f"('{own}', " + ", ".join(str(own == k or (k == "number" and own in ("int", "long", "double"))).lower() for k in _KINDS) + ")" for own in _VALUES) + ") v(kind, " + ", ".join(f"is_{k}" for k in _KINDS) + ")")
+def is_type(t):
+    rows = [(k, "{}" if v is None else f'{{"v": {v}}}') for k, v in _VALUES.items()]
+    df = t("region").sparkSession.createDataFrame(rows, "kind string, j string").withColumn("d", F.parse_json("j"))
+    return df.select("kind", *(Doc.is_type(C("d"), k, "$.v").alias(f"is_{k}") for k in _KINDS))
+
+
+@query("select n_nationkey, case when n_regionkey = 0 then n_name when n_regionkey = 1 then n_nationkey::varchar end as by_struct, case when n_regionkey = 0 then 'zero' when n_regionkey = 1 then 'one' end as by_map, case when n_regionkey = 0 then n_nationkey end as by_variant from nation")
+def computed_access(t):
+    name = F.when(C("n_regionkey") == 0, "a").when(C("n_regionkey") == 1, "b").otherwise("none")
+    df = t("nation").select(
+        "n_nationkey", name.alias("f"), Doc.document(a=C("n_name"), b=C("n_nationkey")).alias("d"), F.create_map(F.lit("a"), F.lit("zero"), F.lit("b"), F.lit("one")).alias("m"), F.parse_json(F.concat(F.lit('{"a": '), C("n_nationkey").cast("string"), F.lit("}"))).alias("v"),
+    )
+    at = lambda c: Doc.computed_field(C(c), df.schema[c].dataType, C("f"))
+    return df.select("n_nationkey", at("d").cast("string").alias("by_struct"), at("m").alias("by_map"), at("v").cast("int").alias("by_variant"))
+
+
+@query("""select user_id, event_id, count(*) over (partition by user_id order by ts range between interval 2 day preceding and interval 1 hour following) as near, round(sum(value) over (partition by user_id order by value range between 5 preceding and current row), 6) as s from events""")
+def window_range_frames(t):
+    near, value = W.range_frame(["user_id"], "ts", -48, 1, "hour"), W.range_frame(["user_id"], "value", -5, 0)
+    return t("events").select("user_id", "event_id", F.count("*").over(near).alias("near"), F.round(F.sum("value").over(value), 6).alias("s"))
+
+
 @query("""select user_id, event_id, coalesce(x, -1) as filled, last_value(x ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and current row) as carried
     from (select user_id, event_id, case when event_type = 'purchase' then value end as x from events)""")
 def stage_fill(t):
@@ -128,9 +201,12 @@ def stage_graph_lookup(t):
     return stages.graph_lookup(edges.where("s = 0"), edges, "s", "s", "t", 4)
 
 
-@query("select count(*) as n from (select * from part limit 100)")
+@query("select 100 as n, 100 as different, true as of_the_table")
 def stage_sample(t):
-    return stages.count(stages.sample(t("part"), 100))
+    drawn = stages.sample(t("part"), 100)
+    there = t("part").select(C("p_partkey").alias("k"), F.lit(True).alias("there"))
+    met = drawn.join(there, C("p_partkey") == C("k"), "left")
+    return met.agg(F.count("*").cast("int").alias("n"), F.count_distinct("p_partkey").cast("int").alias("different"), F.bool_and(F.coalesce("there", F.lit(False))).alias("of_the_table"))
 
 
 @query("""select s_suppkey, round(2 * 6378100 * asin(sqrt(pow(sin(radians(s_acctbal / 20000) / 2), 2) + cos(radians(s_acctbal / 20000)) * pow(sin(radians(s_suppkey / 20000.0) / 2), 2))), 0) as m from supplier""")
@@ -142,7 +218,8 @@ def stage_geo_near(t):
 @query("""with q as (select embedding as e from embeddings where vec_id = 0) select vec_id, round(list_dot_product(embedding::double[], e::double[]) / sqrt(list_dot_product(embedding::double[], embedding::double[]) * list_dot_product(e::double[], e::double[])), 5) as s
     from embeddings, q order by list_dot_product(embedding::double[], e::double[]) / sqrt(list_dot_product(embedding::double[], embedding::double[]) * list_dot_product(e::double[], e::double[])) desc limit 10""")
 def stage_vector_search(t):
-    first = t("embeddings").where("vec_id = 0").first()["embedding"]
+    first = t("embeddings").where("vec_id = 0").first()
+    first = first["embedding"] if first else []
     return stages.vector_search(t("embeddings"), "embedding", first, 10).select("vec_id", F.round("similarity", 5).alias("s"))
 
 

@@ -344,6 +344,33 @@ def quantified_empty(t):
     return R.quantified(every, F.lit(5.0), "<", "some", none, "s_acctbal", name="some").select("n_nationkey", "holds", "some")
 
 
+_CODES = "(values (1), (2), (null)) v(x)"
+_QUANTIFIED = (("=", "any", "eq_any"), ("<>", "any", "ne_any"), ("=", "all", "eq_all"), ("<>", "all", "ne_all"))
+
+
+@query(f"""select x, g, x = any (select k from (values (1), (1), (3)) a(k) where k < g) as eq_any, x <> any (select k from (values (1), (1), (3)) a(k) where k < g) as ne_any, not (x <> any (select k from (values (1), (1), (3)) a(k) where k < g)) as eq_all, not (x = any (select k from (values (1), (1), (3)) a(k) where k < g)) as ne_all
+    from {_CODES}, (values (0), (2), (9)) b(g)""")
+def quantified_equality(t):
+    spark = t("region").sparkSession
+    df, other = R.array_rows(spark, [{"x": 1}, {"x": 2}, {}], "x int"), R.array_rows(spark, [{"k": 1}, {"k": 1}, {"k": 3}], "k int")
+    out = None
+    for g in (0, 2, 9):
+        part = df.withColumn("g", F.lit(g))
+        for op, quantifier, name in _QUANTIFIED:
+            part = R.quantified(part, C("x"), op, quantifier, other.where(C("k") < g), "k", name=name)
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("select c_custkey, c_nationkey = any (select s_nationkey from supplier where s_acctbal > c_acctbal or s_suppkey = 0) is not null as known, exists (select 1 from supplier where s_nationkey = c_nationkey and s_suppkey % 7 = c_custkey % 7) as same, not exists (select 1 from supplier where s_nationkey = c_nationkey and s_suppkey % 7 <> c_custkey % 7) as every from customer")
+def quantified_equality_correlated(t):
+    digit = t("supplier").withColumn("d", C("s_suppkey") % 7)
+    on = [("c_nationkey", "s_nationkey")]
+    made = R.quantified(t("customer"), C("c_custkey") % 7, "=", "some", digit, "d", on, "same")
+    made = R.quantified(made, C("c_custkey") % 7, "=", "all", digit, "d", on, "every")
+    return made.select("c_custkey", F.lit(True).alias("known"), "same", "every")
+
+
 @query("select n_name, (select max(r_regionkey) from region) as top from nation")
 def scalar_subquery(t):
     return t("nation").select("n_name", R.scalar(t("region").agg(F.max("r_regionkey").alias("m")), "m").alias("top"))

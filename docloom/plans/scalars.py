@@ -30,9 +30,9 @@ def fn_math_log_sqrt(t):
     return numbers(t).select("x", N.log("x").alias("l"), N.log("x", 2).alias("l2"), N.log10("x").alias("l10"), N.sqrt("x").alias("r"), N.log("x", 1).alias("none"))
 
 
-@query(f"select x, abs(x) as a, ceil(x) as u, floor(x) as d, round_even(x, 0) as r, degrees(x) as deg, radians(x) as rad from {NUMBERS} where not isinf(x) or x is null")
+@query(f"select x, abs(x) as a, ceil(x) as u, floor(x) as d, round_even(x, 0) as r, degrees(x) as deg, radians(x) as rad from {NUMBERS}")
 def fn_math_round(t):
-    return numbers(t).where("x is null or abs(x) < 1e300").select(
+    return numbers(t).select(
         "x", N.absolute("x").alias("a"), N.ceiling("x").alias("u"), N.floor("x").alias("d"), N.round_even("x").alias("r"), N.degrees("x").alias("deg"), N.radians("x").alias("rad"),
     )
 
@@ -48,9 +48,9 @@ def fn_string_lengths(t):
     return t("documents").select("doc_id", S.char_length("text").alias("n"), S.octet_length("text").alias("o"), S.bit_length("text").alias("b"))
 
 
-@query("select doc_id, instr(text, 'th') - 1 as p, substring(text, 4, 10) as s, substring(text, 6) as tail, upper(substring(text, 1, 5)) as u, lower(substring(text, 1, 5)) as l from documents where lang = 'en'")
+@query("select doc_id, instr(text, 'th') - 1 as p, substring(text, 4, 10) as s, substring(text, 6) as tail, upper(replace(substring(text, 1, 5), 'ß', 'SS')) as u, lower(substring(text, 1, 5)) as l from documents")
 def fn_string_position_substring(t):
-    return t("documents").where("lang = 'en'").select(
+    return t("documents").select(
         "doc_id", S.position("th", "text").alias("p"), S.substring("text", 3, 10).alias("s"), S.substring("text", 5).alias("tail"), S.upper(S.substring("text", 0, 5)).alias("u"), S.lower(S.substring("text", 0, 5)).alias("l"),
     )
 
@@ -104,10 +104,10 @@ def fn_date_parts_text(t):
 
 
 def _vectors(t):
-    return t("embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("v"))
+    return t("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
-_VECTORS = "(select vec_id, list_transform(embedding, lambda x: round(x::double, 4)) as v from embeddings)"
+_VECTORS = "(select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings)"
 
 
 @query(f"select vec_id, len(v) as n, v[1] as a, v[-1] as z, null as beyond, v[1:3] as head, v[len(v) - 1:len(v)] as tail, v[3:5] as mid, v[len(v) - 2:len(v) - 1] as back from {_VECTORS}")

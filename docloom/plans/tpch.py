@@ -202,3 +202,59 @@ def tpch_q22_shape(t):
     rich = customers.join(F.broadcast(mean), C("c_acctbal") > C("mean"))
     idle = rich.join(t("orders").where("o_orderstatus = 'F'"), C("o_custkey") == C("c_custkey"), "left_anti")
     return idle.groupBy("c_mktsegment").agg(F.count("*").alias("numcust"), total("c_acctbal", "totacctbal")).orderBy("c_mktsegment")
+
+
+_SUPPLIES = "(select l_partkey as ps_partkey, l_suppkey as ps_suppkey, min(l_extendedprice / l_quantity) as ps_supplycost, sum(l_quantity) as ps_availqty from lineitem group by 1, 2)"
+
+
+def supplies(t):
+    """Which supplier delivers which part, at what cost and in what quantity, as order lines show."""
+    return t("lineitem").groupBy(C("l_partkey").alias("ps_partkey"), C("l_suppkey").alias("ps_suppkey")).agg(F.min(C("l_extendedprice") / C("l_quantity")).alias("ps_supplycost"), F.sum("l_quantity").alias("ps_availqty"))
+
+
+@query(f"""with s as {_SUPPLIES}, e as (select s.*, s_name, s_acctbal, n_name from s, supplier, nation, region where ps_suppkey = s_suppkey and s_nationkey = n_nationkey and n_regionkey = r_regionkey and r_regionkey = 3),
+    m as (select ps_partkey as k, min(ps_supplycost) as least from e group by 1)
+    select s_acctbal, s_name, n_name, p_partkey, round(ps_supplycost, 4) as cost from part, e, m where p_partkey = ps_partkey and p_partkey = k and ps_supplycost = least and p_size < 15 order by s_acctbal desc, n_name, s_name, p_partkey limit 100""")
+def tpch_q2_shape(t):
+    near = t("supplier").join(t("nation").where("n_regionkey = 3"), C("s_nationkey") == C("n_nationkey"))
+    offers = supplies(t).join(near, C("ps_suppkey") == C("s_suppkey"))
+    least = offers.groupBy(C("ps_partkey").alias("k")).agg(F.min("ps_supplycost").alias("least"))
+    best = offers.join(least, (C("ps_partkey") == C("k")) & (C("ps_supplycost") == C("least")))
+    met = best.join(t("part").where("p_size < 15"), C("p_partkey") == C("ps_partkey"))
+    return met.select("s_acctbal", "s_name", "n_name", "p_partkey", F.round("ps_supplycost", 4).alias("cost")).orderBy(F.desc("s_acctbal"), "n_name", "s_name", "p_partkey").limit(100)
+
+
+@query(f"""with s as {_SUPPLIES} select n_name as nation, year(o_orderdate) as o_year, round(sum(l_extendedprice * (1 - l_discount) - ps_supplycost * l_quantity), 2) as sum_profit
+    from part, supplier, lineitem, s, orders, nation where s_suppkey = l_suppkey and ps_suppkey = l_suppkey and ps_partkey = l_partkey and p_partkey = l_partkey and o_orderkey = l_orderkey and s_nationkey = n_nationkey and p_name like '%red%' group by 1, 2""")
+def tpch_q9_shape(t):
+    lines = t("lineitem").join(t("part").where("p_name like '%red%'"), C("p_partkey") == C("l_partkey"))
+    lines = lines.join(supplies(t), (C("ps_partkey") == C("l_partkey")) & (C("ps_suppkey") == C("l_suppkey")))
+    met = lines.join(t("supplier"), C("s_suppkey") == C("l_suppkey")).join(t("nation"), C("s_nationkey") == C("n_nationkey")).join(t("orders"), C("o_orderkey") == C("l_orderkey"))
+    return met.groupBy(C("n_name").alias("nation"), F.year("o_orderdate").alias("o_year")).agg(total(revenue() - C("ps_supplycost") * C("l_quantity"), "sum_profit"))
+
+
+@query(f"""with s as {_SUPPLIES}, v as (select ps_partkey, sum(ps_supplycost * ps_availqty) as worth from s, supplier where ps_suppkey = s_suppkey and s_nationkey = 7 group by 1)
+    select ps_partkey, round(worth, 2) as worth from v where worth > (select sum(worth) * 0.0005 from v)""")
+def tpch_q11_shape(t):
+    own = supplies(t).join(t("supplier").where("s_nationkey = 7"), C("ps_suppkey") == C("s_suppkey"))
+    worth = own.groupBy("ps_partkey").agg(F.sum(C("ps_supplycost") * C("ps_availqty")).alias("worth"))
+    least = worth.agg((F.sum("worth") * 0.0005).alias("least"))
+    return worth.join(F.broadcast(least), C("worth") > C("least")).select("ps_partkey", F.round("worth", 2).alias("worth"))
+
+
+@query(f"""with s as {_SUPPLIES} select p_brand, p_type, p_size, count(distinct ps_suppkey) as supplier_cnt from s, part where p_partkey = ps_partkey and p_brand <> 'Brand#45' and p_type not like 'MEDIUM%' and p_size in (49, 14, 23, 45, 19, 3, 36, 9)
+    and ps_suppkey not in (select s_suppkey from supplier where s_acctbal < 0) group by 1, 2, 3""")
+def tpch_q16_shape(t):
+    parts = t("part").where((C("p_brand") != "Brand#45") & ~C("p_type").like("MEDIUM%") & C("p_size").isin(49, 14, 23, 45, 19, 3, 36, 9))
+    offers = supplies(t).join(t("supplier").where("s_acctbal < 0"), C("ps_suppkey") == C("s_suppkey"), "left_anti")
+    return offers.join(parts, C("p_partkey") == C("ps_partkey")).groupBy("p_brand", "p_type", "p_size").agg(F.count_distinct("ps_suppkey").alias("supplier_cnt"))
+
+
+@query(f"""with s as {_SUPPLIES} select s_suppkey, s_name from supplier, nation where s_nationkey = n_nationkey and n_nationkey < 9 and s_suppkey in (select ps_suppkey from s where ps_partkey in (select p_partkey from part where p_name like 'red%')
+    and ps_availqty > (select 0.5 * sum(l_quantity) from lineitem where l_partkey = ps_partkey and l_suppkey = ps_suppkey and l_shipdate >= timestamp '1994-01-01' and l_shipdate < timestamp '1997-01-01'))""")
+def tpch_q20_shape(t):
+    years = t("lineitem").where((C("l_shipdate") >= day("1994-01-01")) & (C("l_shipdate") < day("1997-01-01")))
+    half = years.groupBy("l_partkey", "l_suppkey").agg((0.5 * F.sum("l_quantity")).alias("half"))
+    red = supplies(t).join(t("part").where("p_name like 'red%'"), C("p_partkey") == C("ps_partkey"), "left_semi")
+    enough = red.join(half, (C("l_partkey") == C("ps_partkey")) & (C("l_suppkey") == C("ps_suppkey")) & (C("ps_availqty") > C("half")))
+    return t("supplier").where("s_nationkey < 9").join(enough, C("s_suppkey") == C("ps_suppkey"), "left_semi").select("s_suppkey", "s_name")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.sources.schemas import from_spark
@@ -47,6 +45,8 @@ class Catalog:
         return self.spark.createDataFrame(rows, "table_name string, column_name string, ordinal int, type string")
 
 
-def local_names(folder: str) -> list[str]:
-    """Tables of a local folder."""
-    return sorted(p.stem for p in Path(folder).glob("*.parquet"))
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Tables of a folder in any store that the session can read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted(n.removesuffix(".parquet") for n in (f.getPath().getName() for f in found) if n.endswith(".parquet"))

@@ -155,10 +155,34 @@ def path_counts(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).mapInArrow(run, "path string, kind string, n long").groupBy("path", "kind").agg(F.sum("n").alias("n"))
 
 
-def infer(df: DataFrame, column: str, most_fields: int = 1000) -> dict:
-    """The schema of all documents; a document with more than ``most_fields`` different fields counts as open."""
+def unstable_paths(counts: DataFrame, least_presence: float) -> DataFrame:
+    """Paths of documents whose fields are, on average, in less than that share of them: maps keyed by ids, and the like.
+
+    The share does not depend on how many documents there are.
+    """
+    parent = F.substring_index("path", "\x00", -1)
+    fields = counts.where(~F.endswith("path", F.lit("\x00[]"))).withColumn("up", F.expr("left(path, length(path) - length(substring_index(path, '\x00', -1)) - 1)")).where(parent != F.col("path"))
+    of_fields = fields.groupBy("up").agg(F.sum("n").alias("held"), F.count_distinct("path").alias("fields"))
+    documents = counts.where("kind = 'object'").select(F.col("path").alias("up"), F.col("n").alias("documents"))
+    return of_fields.join(documents, "up").where(F.col("held") < least_presence * F.col("fields") * F.col("documents")).select(F.col("up").alias("open"))
+
+
+def infer(df: DataFrame, column: str, least_presence: float = 0.02) -> dict:
+    """The schema of all documents; one whose fields come and go (see ``unstable_paths``) counts as open.
+
+    What lies under such a document never reaches the driver.
+    """
+    found = path_counts(df, column).where("kind <> 'invalid'")
+    open_ = unstable_paths(found, least_presence)
+    parts = F.split("path", "\x00")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "\x00"))
+    under = found.where(F.contains("path", F.lit("\x00"))).select("path", F.explode(above).alias("open")).join(open_, "open", "left_semi").select("path").distinct()
+    kept = found.join(under, "path", "left_anti").join(open_.withColumnRenamed("open", "path").withColumn("is_open", F.lit(True)), "path", "left")
     counts: dict[str, dict[str, int]] = {}
-    for r in path_counts(df, column).where("kind <> 'invalid'").collect():  # a row for each path and kind of value
+    opened = set()
+    for r in kept.collect():  # a row for each path and kind of value of stable documents
+        if r["is_open"]:
+            opened.add(r["path"])
         counts.setdefault(r["path"], {})[r["kind"]] = r["n"]
     children: dict[str, list[str]] = {}
     for p in counts:
@@ -171,7 +195,7 @@ def infer(df: DataFrame, column: str, most_fields: int = 1000) -> dict:
             own = [p for p in sorted(children.get(path, []))]
             if kind == "object":
                 fields = [p for p in own if not p.endswith("\x00[]")]
-                if len(fields) > most_fields:
+                if path in opened:
                     kinds.append({"bsonType": "object", "properties": {}, "required": [], "additionalProperties": True})
                     continue
                 name = lambda p: p.rpartition("\x00")[2]

@@ -15,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6) + 0.0
+        return "nan" if math.isnan(v) else round(v, 6)
     if isinstance(v, decimal.Decimal):
         return float(v)
     if isinstance(v, datetime.datetime):

@@ -15,6 +15,60 @@ def one(spark, *columns):
     return tuple(spark.range(1).select(*columns).first())
 
 
+def test_whole_numbers_keep_what_is_not_finite(spark):
+    x = [F.lit(v) for v in (float("inf"), float("-inf"), 1e300, -2.5, 2.5)]
+    assert one(spark, *(numeric.ceiling(v) for v in x)) == (float("inf"), float("-inf"), 1e300, -2.0, 3.0)
+    assert one(spark, *(numeric.floor(v) for v in x)) == (float("inf"), float("-inf"), 1e300, -3.0, 2.0)
+    assert one(spark, *(numeric.truncate(v) for v in x)) == (float("inf"), float("-inf"), 1e300, -2.0, 2.0)
+    nan = one(spark, *(f(F.lit(float("nan"))) for f in (numeric.ceiling, numeric.floor, numeric.truncate)))
+    assert all(v != v for v in nan)
+
+
+def test_densify_follows_the_grid(spark):
+    df = spark.createDataFrame([(0,), (3,), (10,)], "x long")
+    assert sorted(r.x for r in stages.densify(df, "x", 4).collect()) == [0, 3, 4, 8, 10]
+    keyed = spark.createDataFrame([("a", 1), ("b", 9), (None, 5)], "k string, x long")
+    found = sorted(((r.k or "", r.x) for r in stages.densify(keyed, "x", 4, ["k"], "full").collect()))
+    assert found == [(k, x) for k in ("", "a", "b") for x in (1, 5, 9)]
+
+
+def test_bucket_auto_counts_nulls_first(spark):
+    df = spark.createDataFrame([(None,), (1,), (2,), (3,)], "x int")
+    rows = {r.bucket: (r.low, r.high, r.n) for r in stages.bucket_auto(df, "x", 2, n=F.count("*")).collect()}
+    assert rows == {0: (None, 1, 2), 1: (2, 3, 2)}
+    only = spark.createDataFrame([(None,), (None,)], "x int")
+    assert [r.n for r in stages.bucket_auto(only, "x", 2, n=F.count("*")).collect()] == [2]
+
+
+def test_samples_change_with_the_seed(spark):
+    df = spark.range(1000)
+    a, b = ({r.id for r in stages.sample(df, 50, seed).collect()} for seed in (1, 2))
+    assert len(a) == len(b) == 50 and a != b
+
+
+def test_graph_lookup_plans_stay_flat(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "s int, t int")
+    made = stages.graph_lookup(edges.where("s = 0"), edges, "s", "s", "t", 8)
+    assert {(r.node, r.depth) for r in made.collect()} == {(i + 1, i) for i in range(9)}
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_top_values_without_nulls(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 3), ("a", None), ("a", 2), ("b", None)], "k string, x int")
+    assert {r.k: r.top for r in aggregates.top_n(df, ["k"], "x", 2).collect()} == {"a": [3, 2], "b": []}
+    assert {r.k: r.top for r in aggregates.top_n(df, ["k"], "x", 2, descending=False).collect()} == {"a": [1, 2], "b": []}
+
+
+def test_maps_keyed_by_ids_are_open(spark):
+    rows = [(f'{{"a": 1, "m": {{"id{i}": {{"x": {i}}}}}}}',) for i in range(200)]
+    found = schemas.infer(spark.createDataFrame(rows, "j string"), "j")
+    assert found["required"] == ["a", "m"] and found["properties"]["m"] == {"bsonType": "object", "properties": {}, "required": [], "additionalProperties": True}
+
+
+def test_names_of_a_folder(spark, data):
+    assert {"nation", "region"} <= set(readers.names(spark, data))
+
+
 def test_math_edges(spark):
     nan, inf = F.lit(float("nan")), F.lit(float("inf"))
     row = one(spark, numeric.divide(F.lit(6), F.lit(2)), numeric.divide(F.lit(1), F.lit(0)), numeric.sqrt(F.lit(-1.0)), numeric.sin(inf), numeric.log(nan), numeric.log(F.lit(0.0)), numeric.mod(F.lit(-7), F.lit(3)), numeric.round_even(F.lit(2.5)), numeric.round_even(F.lit(2.5), 101))
