@@ -1,31 +1,37 @@
 """I-Match fingerprints: hashes of the terms that several randomised lexicons keep. Built-in functions only.
 
-The lexicon keeps terms whose inverse document frequency over all documents lies in a band. Frequencies are counted
-for hashed terms in a table of fixed size, so the lexicon is a bit set of ``2 ** LEXICON_BITS`` bits whatever the
-corpus; rare terms that share a place with a common one leave the lexicon with it.
-
-A text's distinct terms in the band are sorted (by hash). A randomised lexicon is one residue of the terms' hashes, and its
-part of the fingerprint is the hash of the text's sorted terms that fall there. The modulus follows the number of
-terms, so that a part covers about one term, and two neighbouring moduli are kept, so that texts of somewhat
-different size still share one. The likeness of two fingerprints is the share of equal parts among those that either
-text fills, under the modulus that they share.
-
-Edge cases: a null text counts as empty; a text without terms in the band has a digest of the whole text as its
-fingerprint, alike to its equals only; equal texts have equal fingerprints and likeness 1; the document after the last
-is the first; rows of equal id follow each other by text; null ids come first.
+Terms are the distinct words of a text in small letters; they stand by their 64-bit hashes. The lexicon keeps terms
+whose inverse document frequency over all documents lies in a fixed band, counted exactly by term. The upper edge bounds
+the lexicon at any size of the corpus: it has at most ``exp(most_idf)`` times as many terms as a text has on average.
+
+Randomised lexicons are fixed for all texts: lexicon k of level l keeps the terms whose hash leaves k when divided by
+``PARTS * 4 ** l``, for k below ``PARTS``, so each level has ``PARTS`` lexicons a quarter as dense as those of the level
+before. A fingerprint is the hash of the text's sorted terms in each of them. Short texts are told by dense lexicons,
+long ones by thin ones, so the likeness of two fingerprints is that of the level that shows most: the share of equal
+hashes among the lexicons in which either text has terms, or among ``LEAST`` if those are fewer.
+
+A text with few of its terms in the band (less than ``FEW`` of them) is a text of common terms, or one whose copies make
+its terms common; all its terms are kept, whatever their frequency.
+
+Edge cases: a null text counts as empty; a text without terms has a digest of the whole text as its fingerprint, alike to
+its equals only; equal texts have equal fingerprints and likeness 1; the document after the last is the first; rows of
+equal id follow each other by text; null ids come first; an empty table gives no rows; texts are taken whole. Terms of
+equal hash count as one.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.llm.common import WORD, shuffle_partitions
 
-LEXICON_BITS = 20
-PARTS = 16
-DIGITS = 6
+PARTS, LEVELS, DIGITS = 16, 5, 6
+LEAST, FEW = 4, 0.25
+#: More terms than this are no lexicon to send to every task: the band has to be narrower.
+MOST_TERMS = 4_000_000
 _EMPTY = "." * DIGITS
 
 
@@ -33,25 +39,45 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
-def _place(term_hash: Column) -> Column:
-    return term_hash.bitwiseAND(F.lit((1 << LEXICON_BITS) - 1))
+def hashed_terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(terms(text), lambda t: F.xxhash64(t)))
 
 
-def fit_lexicon(docs: DataFrame, least_idf: float = 3.0, most_idf_below_largest: float = 0.6) -> Column:
-    """The lexicon as a constant array of 64-bit words.
+class Lexicon:
+    """Hashes of the terms of the band, by place: those of place p are ``values[starts[p]:starts[p + 1]]``."""
 
-    A place is in the band if its idf is at least ``least_idf`` and at least ``most_idf_below_largest`` below that of
-    a term found in a single document. One row per word of the bit set passes through the driver.
+    def __init__(self, hashes: list[int]) -> None:
+        h = np.array(hashes, np.int64)
+        self.bits = max(4, int(len(h)).bit_length())
+        place = h & ((1 << self.bits) - 1)
+        order = np.argsort(place, kind="stable")
+        starts = np.searchsorted(place[order], np.arange((1 << self.bits) + 1))
+        # two constant arrays, made once and not for each row
+        constant = lambda x: F.split(F.lit(",".join(map(str, x.tolist()))), ",").cast("array<bigint>")
+        self.starts, self.values = constant(starts), constant(h[order] if len(h) else np.zeros(1, np.int64))
+        self.empty = not len(h)
+
+    def holds(self, h: Column) -> Column:
+        if self.empty:
+            return F.lit(False)
+        place = h.bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int")
+        first, end = F.get(self.starts, place), F.get(self.starts, place + 1)
+        return (end > first) & F.array_contains(F.slice(self.values, (first + 1).cast("int"), (end - first).cast("int")), h)
+
+
+def fit_lexicon(docs: DataFrame, least_idf: float = 3.0, most_idf: float = 9.0) -> Lexicon:
+    """The lexicon of terms with ``least_idf <= log(documents / frequency) <= most_idf``.
+
+    Its terms' hashes pass through the driver, after their number is checked; see above for its bound.
     """
-    total = docs.count()
-    places = docs.select(F.explode(F.array_distinct(F.transform(terms(F.coalesce("text", F.lit(""))), lambda t: _place(F.xxhash64(t))))).alias("place"))
-    frequency = places.groupBy("place").agg(F.count("*").alias("df"))
-    idf = F.log(F.lit(float(max(total, 1))) / F.col("df"))
-    largest = F.log(F.lit(float(max(total, 1))))
-    band = frequency.where((idf >= least_idf) & (idf <= largest - most_idf_below_largest))
-    words = band.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(place & 63))")).alias("bits"))
-    bits = dict(words.collect())  # at most 2 ** (LEXICON_BITS - 6) rows
-    return F.split(F.lit(",".join(str(bits.get(i, 0)) for i in range(1 << (LEXICON_BITS - 6)))), ",").cast("array<bigint>")
+    total = float(max(docs.count(), 1))
+    frequency = docs.select(F.explode(hashed_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(F.lit(total) / F.col("df"))
+    band = frequency.where((idf >= least_idf) & (idf <= most_idf)).select("term")
+    found = [r["term"] for r in band.limit(MOST_TERMS + 1).toLocalIterator()]
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"the band holds more than {MOST_TERMS} terms: lower most_idf")
+    return Lexicon(found)
 
 
 def _bind(value: Column, use) -> Column:
@@ -59,57 +85,38 @@ def _bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def fingerprint(text: Column, lexicon: Column) -> Column:
-    """Terms stand by their hashes from the start: hashes are what is looked up, sorted and hashed again."""
-
-    def in_lexicon(h: Column) -> Column:
-        place = _place(h)
-        return F.getbit(F.get(lexicon, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+def fingerprint(text: Column, lexicon: Lexicon) -> Column:
+    """Hex digits of each lexicon's hash, level by level, or dots where the text has no term in a lexicon."""
 
-    def parts(hashes: Column, mask: Column) -> Column:
+    def level(hashes: Column, modulus: int) -> Column:
+        residue = lambda x: x.bitwiseAND(F.lit(modulus - 1))
         part = lambda kept: F.when(F.size(kept) == 0, _EMPTY).otherwise(F.lower(F.right(F.hex(F.xxhash64(kept)), F.lit(DIGITS))))
-        some = F.filter(hashes, lambda x: F.shiftright(x, LEXICON_BITS).bitwiseAND(mask) < PARTS)
-        at = lambda some: F.transform(some, lambda x: F.shiftright(x, LEXICON_BITS).bitwiseAND(mask))
-        joined = lambda some, at: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: part(F.filter(some, lambda x, i: F.get(at, i) == k))), "")
-        return _bind(some, lambda some: _bind(at(some), lambda at: joined(some, at)))
+        some = F.filter(hashes, lambda x: residue(x) < PARTS)
+        parts = F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))
+        return _bind(some, lambda kept: F.array_join(F.transform(parts, lambda k: part(F.filter(kept, lambda x: residue(x) == k))), ""))
 
     def whole(hashes: Column) -> Column:
-        level = F.greatest(F.lit(0), F.floor(F.log2(F.size(hashes) / PARTS))).cast("int")
-        # residues are low bits: the moduli are powers of two, worked out once a text
-        mask = lambda level: F.call_function("shiftleft", F.expr(f"{PARTS}L"), level) - 1
-        both = lambda level: F.concat(
-            F.lpad(level.cast("string"), 2, "0"),
-            _bind(mask(level), lambda m: parts(hashes, m)),
-            _bind(mask(level + 1), lambda m: parts(hashes, m)),
-        )
-        return F.when(F.size(hashes) > 0, _bind(level, both))
+        return F.when(F.size(hashes) > 0, F.concat(*(level(hashes, PARTS * 4**i) for i in range(LEVELS))))
 
-    hashed = F.transform(terms(text), lambda t: F.xxhash64(t))
-    return F.coalesce(_bind(F.sort_array(F.filter(hashed, in_lexicon)), whole), F.concat(F.lit("--"), F.sha2(text, 256)))
+    def kept(hashes: Column) -> Column:
+        return _bind(F.filter(hashes, lexicon.holds), lambda own: F.when(F.size(own) >= FEW * F.size(hashes), own).otherwise(hashes))
+
+    made = _bind(F.sort_array(hashed_terms(text)), lambda hashes: _bind(kept(hashes), whole))
+    return F.coalesce(made, F.concat(F.lit("--"), F.sha2(text, 256)))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 for two fingerprints."""
-    level_a, level_b = F.left(a, F.lit(2)), F.left(b, F.lit(2))
-    width = PARTS * DIGITS
-    coarse = lambda x: F.substring(x, 3, width)
-    fine = lambda x: F.substring(x, 3 + width, width)
-
-    def share(x: Column, y: Column) -> Column:
-        at = lambda z, k: F.substring(z, k * DIGITS + 1, F.lit(DIGITS))
-        places = F.sequence(F.lit(0), F.lit(PARTS - 1))
+    at = lambda z, k: F.substring(z, k * DIGITS + 1, F.lit(DIGITS))
+
+    def share(x: Column, y: Column, i: int) -> Column:
+        places = F.sequence(F.lit(i * PARTS), F.lit(i * PARTS + PARTS - 1))
         filled = F.size(F.filter(places, lambda k: (at(x, k) != _EMPTY) | (at(y, k) != _EMPTY)))
         equal = F.size(F.filter(places, lambda k: (at(x, k) == at(y, k)) & (at(x, k) != _EMPTY)))
-        return F.coalesce(F.try_divide(equal, filled), F.lit(0.0))
-
-    step = F.expr("0") + level_a.try_cast("int") - level_b.try_cast("int")
-    return (
-        F.when(a == b, 1.0)
-        .when(step == 0, share(fine(a), fine(b)))
-        .when(step == 1, share(coarse(a), fine(b)))
-        .when(step == -1, share(fine(a), coarse(b)))
-        .otherwise(0.0)
-    )
+        return equal / F.greatest(filled, F.lit(LEAST))
+
+    digests = F.startswith(a, F.lit("--")) | F.startswith(b, F.lit("--"))
+    return F.when(a == b, 1.0).when(digests, 0.0).otherwise(F.greatest(*(share(a, b, i) for i in range(LEVELS))))
 
 
 def with_following(rows: DataFrame, columns: dict[str, str], runs: int) -> DataFrame:

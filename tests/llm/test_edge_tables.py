@@ -2,6 +2,7 @@
 
 import pytest
 
+import corpus_pipeline
 from docloom.llm import queries
 
 LONG = " ".join(f"word{i % 977} runs{i % 13} on" for i in range(30_000))
@@ -47,6 +48,8 @@ def test_odd_rows(spark, odd, name):
         assert all(r.taken in (0, r.size, 2 * r.size) for r in rows)
     if name.startswith("op1_"):
         assert all(0 <= r.score <= 1 for r in rows)
+    if name.startswith(("op1_", "op8")):
+        assert all(isinstance(r.held_out, bool) for r in rows)
     if name.startswith("op8"):
         assert all(r.lang_pred == "und" for r in rows if r.doc_id in (0, 1, 2, 9, 10, 11))
 
@@ -55,3 +58,29 @@ def test_odd_rows(spark, odd, name):
 def test_empty_tables(spark, empty, name):
     rows = queries.queries()[name](spark, empty).collect()
     assert len(rows) == (1 if name.startswith("op10") else 0)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, odd, name):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, odd)
+    rows = out.collect()
+    if name == "pieces":
+        assert len(rows) == 21 and out.columns == ["doc_id", "lang", "source", "ids"]
+        assert sorted(len(r.ids) for r in rows)[:4] == [0, 0, 0, 0]
+        return
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    if name == "near_duplicates":
+        # null, empty and blank texts stay once an id; of the others one of each class; the row without an id stays
+        assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11] and len(rows) == 13
+    if name == "secrets":
+        assert len(rows) == 21 and not any("AKIA" in (r.text or "") for r in rows)
+        assert all(r.text is None for r in rows if r.doc_id in (0, 9))
+    if name == "mixture":
+        assert max(sum(r.doc_id == d for r in rows) for d in range(18)) <= 6
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_empty_tables(spark, empty, name):
+    docs = spark.read.parquet(f"{empty}/documents.parquet")
+    assert dict(corpus_pipeline.STAGES)[name](spark, docs, empty).collect() == []
