@@ -54,9 +54,11 @@ def _repeat_words(words: str) -> str:
     """SQL for the number of words in 3-word windows found twice or more.
 
     Windows become longs of a hash above their position. Sorted, equal windows are neighbours; the words themselves
-    are compared there, so that a hash shared by different windows counts for nothing. Positions fit the low bits.
+    are compared there, so that a hash shared by different windows counts for nothing. The next neighbour but one is
+    compared as well, so one window that happens to have the hash of two equal ones and lies between them hides nothing.
+    Positions fit the low bits, of which there are as many as the text takes.
     """
-    bits = f"if(size({words}) < 1048576, 20, 26)"
+    bits = f"if(size({words}) < 1048576, 20, if(size({words}) < 67108864, 26, 31))"
     place = f"bigint(x & (shiftleft(1L, {bits}) - 1))"
     same = (
         f"(shiftright(x, {bits}) = shiftright(y, {bits})"
@@ -64,14 +66,14 @@ def _repeat_words(words: str) -> str:
         f" and get({words}, int(x & m) + 1) = get({words}, int(y & m) + 1)"
         f" and get({words}, int(x & m) + 2) = get({words}, int(y & m) + 2))"
     ).replace("& m", f"& (shiftleft(1L, {bits}) - 1)")
-    before, after = same.replace("y", "get(s, k - 1)"), same.replace("y", "get(s, k + 1)")
+    near = " or ".join(f"coalesce({same.replace('y', f'get(s, k {step})')}, false)" for step in ("- 1", "+ 1", "- 2", "+ 2"))
     windows = (
         f"transform(slice({words}, 1, greatest(0, size({words}) - 2)), (x, i) ->"
         f" shiftleft(xxhash64(x, get({words}, i + 1), get({words}, i + 2)), {bits}) | bigint(i))"
     )
     # a one-element array carries each intermediate array into the next lambda
     return f"""get(transform(array(sort_array({windows})), s ->
-        get(transform(array(array_sort(transform(filter(s, (x, k) -> coalesce({before}, false) or coalesce({after}, false)),
+        get(transform(array(sort_array(transform(filter(s, (x, k) -> {near}),
             x -> {place}))), p ->
             aggregate(transform(p, (x, k) -> least(3L, coalesce(get(p, k + 1) - x, 3L))), 0L, (a, x) -> a + x)), 0)), 0)"""
 
