@@ -100,6 +100,13 @@ def last_n(x: Value, n: int) -> Column:
     return slice_first(x, -n)
 
 
+def zip_(*arrays: Value, longest: bool = False) -> Column:
+    """Array of arrays of the values at each place, up to the end of the shortest array, or padded with NULL to the longest."""
+    named = F.arrays_zip(*(col(a).alias(f"a{i}") for i, a in enumerate(arrays)))
+    both = F.transform(named, lambda s: F.array(*(s[f"a{i}"] for i in range(len(arrays)))))
+    return both if longest else F.slice(both, F.lit(1), F.least(*(F.size(col(a)) for a in arrays)))
+
+
 def max_n(x: Value, n: int) -> Column:
     return F.slice(F.sort_array(F.array_compact(col(x)), asc=False), 1, n)
 

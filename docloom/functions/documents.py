@@ -45,6 +45,26 @@ def unset_field(doc: Column, *names: str) -> Column:
     return doc.dropFields(*names)
 
 
+def to_pairs(fields: Column) -> Column:
+    """An open document of one value type (a map) as an array of (k, v)."""
+    return F.transform(F.map_entries(fields), lambda e: F.struct(e.key.alias("k"), e.value.alias("v")))
+
+
+def from_pairs(pairs: Column) -> Column:
+    """A map from an array of (k, v); of equal names the last counts."""
+    last = lambda k: F.element_at(F.filter(pairs, lambda p: p.k == k), -1).v
+    names = F.array_distinct(F.transform(pairs, lambda p: p.k))
+    return F.map_from_arrays(names, F.transform(names, last))
+
+
+def type_name(variant: Column) -> Column:
+    """The dialect's name of a value's type; ``missing`` for NULL."""
+    named = F.lit("missing")
+    for kind in ("null", "bool", "string", "int", "long", "double", "decimal", "date", "binData", "array", "object"):
+        named = F.when(is_type(variant, kind), kind).otherwise(named)
+    return named
+
+
 def is_missing(variant: Column, path: str) -> Column:
     """Whether an open document (a variant) lacks the path; a JSON null is there."""
     return F.variant_get(variant, path, "variant").isNull()

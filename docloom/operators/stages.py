@@ -152,6 +152,11 @@ def sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(F.rand(seed)).limit(n)
 
 
+def sample_rate(df: DataFrame, rate: float, seed: int = 0) -> DataFrame:
+    """Each row with that probability."""
+    return df.where(F.rand(seed) < rate)
+
+
 def redact(df: DataFrame, keep: Column) -> DataFrame:
     return df.where(keep)
 

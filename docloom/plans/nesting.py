@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.functions import arrays as X
 from docloom.functions import documents as Doc
 from docloom.operators import nested, stages
 from docloom.operators import predicates as P
@@ -149,6 +150,21 @@ def is_type(t):
     return df.select("kind", *(Doc.is_type(C("d"), k, "$.v").alias(f"is_{k}") for k in _KINDS))
 
 
+@query("""select n_nationkey, [{'k': 'name', 'v': n_name}, {'k': 'id', 'v': n_nationkey::varchar}] as pairs, 'last' as back, [[n_nationkey, n_regionkey]] as short, [[n_nationkey, n_regionkey], [7, null]] as long_, strlen(n_name) as bytes from nation""")
+def expr_objects_arrays(t):
+    made = F.create_map(F.lit("name"), "n_name", F.lit("id"), C("n_nationkey").cast("string"))
+    again = F.concat(Doc.to_pairs(made), F.array(F.struct(F.lit("id").alias("k"), F.lit("last").alias("v"))))
+    two, one = F.array("n_nationkey", F.lit(7)), F.array("n_regionkey")
+    return t("nation").select("n_nationkey", Doc.to_pairs(made).alias("pairs"), F.element_at(Doc.from_pairs(again), "id").alias("back"), X.zip_(two, one).alias("short"), X.zip_(two, one, longest=True).alias("long_"), F.octet_length("n_name").alias("bytes"))
+
+
+@query("select * from (values " + ", ".join(f"('{k}', '{k}')" for k in _VALUES if k != "number") + ") v(kind, named)")
+def type_names(t):
+    rows = [(k, "{}" if v is None else f'{{"v": {v}}}') for k, v in _VALUES.items()]
+    df = t("region").sparkSession.createDataFrame(rows, "kind string, j string").withColumn("d", F.parse_json("j"))
+    return df.select("kind", Doc.type_name(F.variant_get("d", "$.v", "variant")).alias("named"))
+
+
 @query("select n_nationkey, case when n_regionkey = 0 then n_name when n_regionkey = 1 then n_nationkey::varchar end as by_struct, case when n_regionkey = 0 then 'zero' when n_regionkey = 1 then 'one' end as by_map, case when n_regionkey = 0 then n_nationkey end as by_variant from nation")
 def computed_access(t):
     name = F.when(C("n_regionkey") == 0, "a").when(C("n_regionkey") == 1, "b").otherwise("none")

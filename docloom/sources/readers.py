@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.sources.schemas import from_spark
@@ -45,6 +47,16 @@ class Catalog:
         return self.spark.createDataFrame(rows, "table_name string, column_name string, ordinal int, type string")
 
 
+def save_schema(spark: SparkSession, schema: dict, path: str, mode: str = "error") -> None:
+    """A schema as one JSON text in any store that the session can write to."""
+    spark.createDataFrame([(json.dumps(schema, sort_keys=True),)], "value string").coalesce(1).write.mode(mode).text(path)
+
+
+def load_schema(spark: SparkSession, path: str) -> dict:
+    """A schema from a JSON file, or a folder that ``save_schema`` wrote."""
+    return json.loads(spark.read.text(path, wholetext=True).where("trim(value) <> ''").first()["value"])
+
+
 def names(spark: SparkSession, folder: str) -> list[str]:
     """Tables of a folder in any store that the session can read."""
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ATOM = {T.StringType: "string", T.BooleanType: "bool", T.IntegerType: "int", T.ShortType: "int", T.ByteType: "int", T.LongType: "long", T.DoubleType: "double", T.FloatType: "double", T.TimestampType: "date", T.DateType: "date", T.BinaryType: "binData", T.NullType: "null"}
+_ATOM = {T.StringType: "string", T.BooleanType: "bool", T.IntegerType: "int", T.ShortType: "int", T.ByteType: "int", T.LongType: "long", T.DoubleType: "double", T.FloatType: "double", T.TimestampType: "date", T.TimestampNTZType: "date", T.DateType: "date", T.BinaryType: "binData", T.NullType: "null"}
 _BACK = {"string": T.StringType, "bool": T.BooleanType, "int": T.IntegerType, "long": T.LongType, "double": T.DoubleType, "date": T.TimestampType, "binData": T.BinaryType, "null": T.NullType, "objectId": T.StringType}
 _WIDENING = ("int", "long", "double", "decimal")
 

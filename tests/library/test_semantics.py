@@ -65,6 +65,19 @@ def test_maps_keyed_by_ids_are_open(spark):
     assert found["required"] == ["a", "m"] and found["properties"]["m"] == {"bsonType": "object", "properties": {}, "required": [], "additionalProperties": True}
 
 
+def test_schemas_are_stored_and_loaded(spark, tmp_path, data):
+    schema = readers.Catalog(spark, data).schema("orders")
+    readers.save_schema(spark, schema, f"{tmp_path}/orders.schema")
+    assert readers.load_schema(spark, f"{tmp_path}/orders.schema") == schema
+    typed = readers.read(spark, f"{data}/orders.parquet", schema=schemas.to_spark(schema))
+    assert typed.columns == list(schema["properties"])
+
+
+def test_sample_rate(spark):
+    n = stages.sample_rate(spark.range(10_000), 0.2).count()
+    assert 1_700 < n < 2_300 and stages.sample_rate(spark.range(50), 0.0).count() == 0
+
+
 def test_names_of_a_folder(spark, data):
     assert {"nation", "region"} <= set(readers.names(spark, data))
 
