@@ -67,7 +67,7 @@ def count_ranges(docs: DataFrame) -> int:
 
 
 #: Turns of joining labels by spanning pairs before every pair left is checked.
-SPANNING_TURNS = 2
+SPANNING_TURNS = 1
 _SEEDS = spread(1 << 40, 4)
 
 
@@ -324,17 +324,12 @@ def candidate_pairs(survivors: DataFrame, signed: DataFrame, labels: DataFrame,
     band = size_band(F.col("n_shingles"), percent).alias("band")
     named = survivors.join(labels, survivors.row == labels.node, "left").select("row", F.coalesce("component", "row").alias("label"), band, F.slice("tokens", F.lit(1), rarest.cast("int")).alias("tokens"))
     members = named.select("row", "label", "band", F.explode("tokens").alias("token"))
-    extent = (F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("tile"))
-    mixed = members.groupBy("token").agg(*extent).where("low < high").select("token", "tile")
+    mixed = members.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("tile")).where("low < high").select("token", "tile")
     place = lambda at, above: F.struct(at.alias("at"), F.lit(above).alias("above"))
-    banded = F.array(place(F.col("band"), 0), place(F.col("band") - 1, 1))
     # a token that few documents hold has one tile; others have a tile for each band, in which the next one's rows take part
-    large = members.join(mixed.where(F.col("tile") > BLOCK), "token").select("token", "label", F.explode(banded).alias("p"))
-    bands = large.groupBy("token", F.col("p.at").alias("at")).agg(*extent, F.min("p.above").alias("nearest")).where("low < high and nearest = 0").select("token", "at", F.col("tile").alias("rows"))
-    own_tile = F.when(F.col("tile") > BLOCK, banded).otherwise(F.array(place(F.lit(-2), 0)))
-    placed = members.join(mixed, "token").select("row", "label", "token", F.explode(own_tile).alias("p")).select("row", "label", "token", "p.*")
-    met = placed.join(bands, ["token", "at"], "left").where("at = -2 or rows is not null")
-    cuts = F.ceil(F.coalesce("rows", F.lit(1)) / BLOCK).cast("int")
+    own_tile = F.when(F.col("tile") > BLOCK, F.array(place(F.col("band"), 0), place(F.col("band") - 1, 1))).otherwise(F.array(place(F.lit(-2), 0)))
+    met = members.join(mixed, "token").select("row", "label", "token", "tile", F.explode(own_tile).alias("p")).select("row", "label", "token", "tile", "p.*")
+    cuts = F.ceil(F.col("tile") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("row", "token"), cuts).cast("int")
     other = F.explode(F.sequence(F.lit(0), cuts - 1))
     dealt = met.select("token", "at", "above", "row", "label", own.alias("own"), other.alias("other"))
