@@ -1,8 +1,9 @@
 """I-Match fingerprints: hashes of the terms that several randomised lexicons keep. Built-in functions only.
 
 Terms are the distinct words of a text in small letters; they stand by their 64-bit hashes. The lexicon keeps terms
-whose inverse document frequency over all documents lies in a fixed band, counted exactly by term. The upper edge bounds
-the lexicon at any size of the corpus: it has at most ``exp(most_idf)`` times as many terms as a text has on average.
+whose inverse document frequency over all documents lies in a fixed band, counted exactly by term, and which more than
+one document holds. The upper edge bounds the lexicon at any size of the corpus: it has at most ``exp(most_idf)`` times
+as many terms as a text has on average.
 
 Randomised lexicons are fixed for all texts: lexicon k of level l keeps the terms whose hash leaves k when divided by
 ``PARTS * 4 ** l``, for k below ``PARTS``, so each level has ``PARTS`` lexicons a quarter as dense as those of the level
@@ -31,7 +32,7 @@ from docloom.llm.common import WORD, shuffle_partitions
 PARTS, LEVELS, DIGITS = 16, 5, 6
 LEAST, FEW = 4, 0.25
 #: More terms than this are no lexicon to send to every task: the band has to be narrower.
-MOST_TERMS = 4_000_000
+MOST_TERMS = 1_000_000
 _EMPTY = "." * DIGITS
 
 
@@ -44,7 +45,7 @@ def hashed_terms(text: Column) -> Column:
 
 
 class Lexicon:
-    """Hashes of the terms of the band, by place: those of place p are ``values[starts[p]:starts[p + 1]]``."""
+    """Hashes of the terms of the band in one table, by place: those of place p are ``table[table[p]:table[p + 1]]``."""
 
     def __init__(self, hashes: list[int]) -> None:
         h = np.array(hashes, np.int64)
@@ -52,28 +53,28 @@ class Lexicon:
         place = h & ((1 << self.bits) - 1)
         order = np.argsort(place, kind="stable")
         starts = np.searchsorted(place[order], np.arange((1 << self.bits) + 1))
-        # two constant arrays, made once and not for each row
-        constant = lambda x: F.split(F.lit(",".join(map(str, x.tolist()))), ",").cast("array<bigint>")
-        self.starts, self.values = constant(starts), constant(h[order] if len(h) else np.zeros(1, np.int64))
-        self.empty = not len(h)
+        # one constant array, made once and not for each row: where each place starts in it, then the hashes
+        both = np.concatenate([starts + len(starts), h[order]])
+        self.table = F.split(F.lit(",".join(map(str, both.tolist()))), ",").cast("array<bigint>")
 
-    def holds(self, h: Column) -> Column:
-        if self.empty:
-            return F.lit(False)
-        place = h.bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int")
-        first, end = F.get(self.starts, place), F.get(self.starts, place + 1)
-        return (end > first) & F.array_contains(F.slice(self.values, (first + 1).cast("int"), (end - first).cast("int")), h)
+    def kept(self, hashes: Column) -> Column:
+        def holds(table: Column, h: Column) -> Column:
+            place = h.bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int")
+            first, end = F.get(table, place), F.get(table, place + 1)
+            return (end > first) & F.array_contains(F.slice(table, (first + 1).cast("int"), (end - first).cast("int")), h)
+
+        return _bind(self.table, lambda table: F.filter(hashes, lambda h: holds(table, h)))
 
 
 def fit_lexicon(docs: DataFrame, least_idf: float = 3.0, most_idf: float = 9.0) -> Lexicon:
-    """The lexicon of terms with ``least_idf <= log(documents / frequency) <= most_idf``.
+    """The lexicon of terms of two documents or more with ``least_idf <= log(documents / frequency) <= most_idf``.
 
     Its terms' hashes pass through the driver, after their number is checked; see above for its bound.
     """
     total = float(max(docs.count(), 1))
     frequency = docs.select(F.explode(hashed_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(total) / F.col("df"))
-    band = frequency.where((idf >= least_idf) & (idf <= most_idf)).select("term")
+    band = frequency.where((idf >= least_idf) & (idf <= most_idf) & (F.col("df") > 1)).select("term")
     found = [r["term"] for r in band.limit(MOST_TERMS + 1).toLocalIterator()]
     if len(found) > MOST_TERMS:
         raise ValueError(f"the band holds more than {MOST_TERMS} terms: lower most_idf")
@@ -99,7 +100,7 @@ def fingerprint(text: Column, lexicon: Lexicon) -> Column:
         return F.when(F.size(hashes) > 0, F.concat(*(level(hashes, PARTS * 4**i) for i in range(LEVELS))))
 
     def kept(hashes: Column) -> Column:
-        return _bind(F.filter(hashes, lexicon.holds), lambda own: F.when(F.size(own) >= FEW * F.size(hashes), own).otherwise(hashes))
+        return _bind(lexicon.kept(hashes), lambda own: F.when(F.size(own) >= FEW * F.size(hashes), own).otherwise(hashes))
 
     made = _bind(F.sort_array(hashed_terms(text)), lambda hashes: _bind(kept(hashes), whole))
     return F.coalesce(made, F.concat(F.lit("--"), F.sha2(text, 256)))

@@ -142,7 +142,7 @@ def test_fingerprints_equal_a_plain_version(spark, data, texts):
     split = spark.createDataFrame([(d, k, sorted(set(WORD.findall(t)))) for d, k, t in both], "d long, k int, ws array<string>")
     hashed = {(r.d, r.k): set(r.h) for r in split.select("d", "k", F.transform("ws", lambda w: F.xxhash64(F.lower(w))).alias("h")).collect()}
     df = Counter(h for d in ids for h in hashed[d, 0])
-    band = {h for h, n in df.items() if 3.0 <= np.log(len(ids) / n) <= 9.0}
+    band = {h for h, n in df.items() if n > 1 and 3.0 <= np.log(len(ids) / n) <= 9.0}
     made = {(d, k): plain_fingerprint(hashed[d, k], band, t) for d, k, t in both}
     of_part = {}
     for doc, r in rows.items():
