@@ -1,84 +1,68 @@
 """I-Match fingerprints: hashes of the terms that several randomised lexicons keep. Built-in functions only.
 
-Terms are the distinct words of a text in small letters; they stand by their 64-bit hashes. The lexicon keeps terms
-whose inverse document frequency over all documents lies in a fixed band, counted exactly by term, and which more than
-one document holds. The upper edge bounds the lexicon at any size of the corpus: it has at most ``exp(most_idf)`` times
-as many terms as a text has on average.
+Terms are the distinct words of a text in small letters; they stand by their 64-bit hashes. The band holds the terms of
+two documents or more whose inverse document frequency over all documents lies between two fixed bounds; frequencies
+are counted exactly, by term. The upper bound makes the band's size one of the language, not of the corpus: it has at
+most ``exp(most_idf)`` times as many terms as a text has on average.
+
+The lexicon is looked up in a bit set of ``2 ** LEXICON_BITS`` places, on which the band's terms are marked but for
+places that a term below the band shares. So common terms never pass; terms of the band that share a common one's place
+do not either; and a term too rare for the band passes if it shares the place of one in it.
 
 Randomised lexicons are fixed for all texts: lexicon k of level l keeps the terms whose hash leaves k when divided by
-``PARTS * 4 ** l``, for k below ``PARTS``, so each level has ``PARTS`` lexicons a quarter as dense as those of the level
+``FIRST * 4 ** l``, for k below ``PARTS``, so the lexicons of each level are a quarter as dense as those of the level
 before. A fingerprint is the hash of the text's sorted terms in each of them. Short texts are told by dense lexicons,
 long ones by thin ones, so the likeness of two fingerprints is that of the level that shows most: the share of equal
 hashes among the lexicons in which either text has terms, or among ``LEAST`` if those are fewer.
 
-A text with few of its terms in the band (less than ``FEW`` of them) is a text of common terms, or one whose copies make
+A text with few of its terms in the lexicon (less than ``FEW`` of them) is one of common terms, or one whose copies make
 its terms common; all its terms are kept, whatever their frequency.
 
-Edge cases: a null text counts as empty; a text without terms has a digest of the whole text as its fingerprint, alike to
-its equals only; equal texts have equal fingerprints and likeness 1; the document after the last is the first; rows of
-equal id follow each other by text; null ids come first; an empty table gives no rows; texts are taken whole. Terms of
-equal hash count as one.
+Edge cases: a null text counts as empty; a text without terms in any lexicon has a digest of the whole text as its
+fingerprint, alike to its equals only; equal texts have equal fingerprints and likeness 1; the document after the last is
+the first; rows of equal id follow each other by text; null ids come first; an empty table gives no rows; texts are taken
+whole. Terms of equal hash count as one.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.llm.common import WORD, shuffle_partitions
 
-PARTS, LEVELS, DIGITS = 16, 5, 6
+LEXICON_BITS = 20
+PARTS, FIRST, LEVELS, DIGITS = 16, 64, 4, 6
 LEAST, FEW = 4, 0.25
-#: More terms than this are no lexicon to send to every task: the band has to be narrower.
-MOST_TERMS = 1_000_000
 _EMPTY = "." * DIGITS
 
 
-def terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
-
-
 def hashed_terms(text: Column) -> Column:
-    return F.array_distinct(F.transform(terms(text), lambda t: F.xxhash64(t)))
-
+    terms = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+    return F.transform(terms, lambda t: F.xxhash64(t))
 
-class Lexicon:
-    """Hashes of the terms of the band in one table, by place: those of place p are ``table[table[p]:table[p + 1]]``."""
 
-    def __init__(self, hashes: list[int]) -> None:
-        h = np.array(hashes, np.int64)
-        self.bits = max(4, int(len(h)).bit_length())
-        place = h & ((1 << self.bits) - 1)
-        order = np.argsort(place, kind="stable")
-        starts = np.searchsorted(place[order], np.arange((1 << self.bits) + 1))
-        # one constant array, made once and not for each row: where each place starts in it, then the hashes
-        both = np.concatenate([starts + len(starts), h[order]])
-        self.table = F.split(F.lit(",".join(map(str, both.tolist()))), ",").cast("array<bigint>")
+def _place(term_hash: Column) -> Column:
+    """High bits: low ones tell the lexicons apart."""
+    return F.shiftrightunsigned(term_hash, 64 - LEXICON_BITS)
 
-    def kept(self, hashes: Column) -> Column:
-        def holds(table: Column, h: Column) -> Column:
-            place = h.bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int")
-            first, end = F.get(table, place), F.get(table, place + 1)
-            return (end > first) & F.array_contains(F.slice(table, (first + 1).cast("int"), (end - first).cast("int")), h)
 
-        return _bind(self.table, lambda table: F.filter(hashes, lambda h: holds(table, h)))
+def fit_lexicon(docs: DataFrame, least_idf: float = 3.0, most_idf: float = 9.0) -> Column:
+    """The lexicon of terms with ``least_idf <= log(documents / frequency) <= most_idf``, as a constant array of 64-bit words.
 
-
-def fit_lexicon(docs: DataFrame, least_idf: float = 3.0, most_idf: float = 9.0) -> Lexicon:
-    """The lexicon of terms of two documents or more with ``least_idf <= log(documents / frequency) <= most_idf``.
-
-    Its terms' hashes pass through the driver, after their number is checked; see above for its bound.
+    One row per word of the bit set passes through the driver.
     """
     total = float(max(docs.count(), 1))
     frequency = docs.select(F.explode(hashed_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(total) / F.col("df"))
-    band = frequency.where((idf >= least_idf) & (idf <= most_idf) & (F.col("df") > 1)).select("term")
-    found = [r["term"] for r in band.limit(MOST_TERMS + 1).toLocalIterator()]
-    if len(found) > MOST_TERMS:
-        raise ValueError(f"the band holds more than {MOST_TERMS} terms: lower most_idf")
-    return Lexicon(found)
+    place = _place(F.col("term"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    marks = F.bit_or(F.when((idf >= least_idf) & (idf <= most_idf) & (F.col("df") > 1), bit).otherwise(F.lit(0).cast("long")))
+    common = F.bit_or(F.when(idf < least_idf, bit).otherwise(F.lit(0).cast("long")))
+    words = frequency.groupBy(F.shiftright(place, 6).alias("word")).agg(marks.bitwiseAND(F.bitwise_not(common)).alias("bits"))
+    bits = dict(words.collect())  # at most 2 ** (LEXICON_BITS - 6) rows
+    return F.split(F.lit(",".join(str(bits.get(i, 0)) for i in range(1 << (LEXICON_BITS - 6)))), ",").cast("array<bigint>")
 
 
 def _bind(value: Column, use) -> Column:
@@ -86,24 +70,27 @@ def _bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def fingerprint(text: Column, lexicon: Lexicon) -> Column:
+def fingerprint(text: Column, lexicon: Column) -> Column:
     """Hex digits of each lexicon's hash, level by level, or dots where the text has no term in a lexicon."""
 
-    def level(hashes: Column, modulus: int) -> Column:
-        residue = lambda x: x.bitwiseAND(F.lit(modulus - 1))
+    def in_lexicon(h: Column) -> Column:
+        place = _place(h)
+        return F.getbit(F.get(lexicon, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    def levels(hashes: Column, i: int) -> Column:
+        residue = lambda x: x.bitwiseAND(F.lit(FIRST * 4**i - 1))
         part = lambda kept: F.when(F.size(kept) == 0, _EMPTY).otherwise(F.lower(F.right(F.hex(F.xxhash64(kept)), F.lit(DIGITS))))
-        some = F.filter(hashes, lambda x: residue(x) < PARTS)
         parts = F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))
-        return _bind(some, lambda kept: F.array_join(F.transform(parts, lambda k: part(F.filter(kept, lambda x: residue(x) == k))), ""))
-
-    def whole(hashes: Column) -> Column:
-        return F.when(F.size(hashes) > 0, F.concat(*(level(hashes, PARTS * 4**i) for i in range(LEVELS))))
+        joined = lambda kept: F.array_join(F.transform(parts, lambda k: part(F.filter(kept, lambda x: residue(x) == k))), "")
+        # what a level keeps holds all that the next one keeps
+        rest = (lambda kept: F.concat(joined(kept), levels(kept, i + 1))) if i + 1 < LEVELS else joined
+        return _bind(F.filter(hashes, lambda x: residue(x) < PARTS), rest)
 
     def kept(hashes: Column) -> Column:
-        return _bind(lexicon.kept(hashes), lambda own: F.when(F.size(own) >= FEW * F.size(hashes), own).otherwise(hashes))
+        return _bind(F.filter(hashes, in_lexicon), lambda own: F.when(F.size(own) >= FEW * F.size(hashes), own).otherwise(hashes))
 
-    made = _bind(F.sort_array(hashed_terms(text)), lambda hashes: _bind(kept(hashes), whole))
-    return F.coalesce(made, F.concat(F.lit("--"), F.sha2(text, 256)))
+    made = _bind(_bind(hashed_terms(text), lambda hashes: F.sort_array(kept(hashes))), lambda hashes: levels(hashes, 0))
+    return F.coalesce(F.nullif(made, F.lit(_EMPTY * PARTS * LEVELS)), F.concat(F.lit("--"), F.sha2(text, 256)))
 
 
 def likeness(a: Column, b: Column) -> Column:

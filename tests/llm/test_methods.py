@@ -110,11 +110,14 @@ def test_rules_equal_a_plain_count(spark, data, texts):
         assert r.base_failed == (len(words) < 50 or 100 * len(repeated) > 50 * len(words)) and not (r.kept and r.base_failed)
 
 
-def plain_fingerprint(hashes, band, text):
+def plain_fingerprint(hashes, band, common, text):
     """hashes: of the text's distinct terms; the last step's hash is Spark's own, so parts are given as their sorted terms."""
-    own = [h for h in hashes if h in band]
+    place = lambda h: (h % 2**64) >> 44
+    marked = {place(h) for h in band} - {place(h) for h in common}
+    own = [h for h in hashes if place(h) in marked]
     kept = sorted(own if len(own) >= 0.25 * len(hashes) else hashes)
-    return [tuple(h for h in kept if h % (16 * 4**level) == k) for level in range(5) for k in range(16)] if kept else text
+    parts = [tuple(h for h in kept if h % (64 * 4**level) == k) for level in range(4) for k in range(16)]
+    return parts if any(parts) else text
 
 
 def plain_likeness(a, b):
@@ -123,7 +126,7 @@ def plain_likeness(a, b):
     if isinstance(a, str) or isinstance(b, str):
         return 0.0
     best = 0.0
-    for i in range(0, 80, 16):
+    for i in range(0, 64, 16):
         pairs = [(x, y) for x, y in zip(a[i : i + 16], b[i : i + 16], strict=True) if x or y]
         best = max(best, sum(x == y for x, y in pairs) / max(len(pairs), 4))
     return best
@@ -143,7 +146,8 @@ def test_fingerprints_equal_a_plain_version(spark, data, texts):
     hashed = {(r.d, r.k): set(r.h) for r in split.select("d", "k", F.transform("ws", lambda w: F.xxhash64(F.lower(w))).alias("h")).collect()}
     df = Counter(h for d in ids for h in hashed[d, 0])
     band = {h for h, n in df.items() if n > 1 and 3.0 <= np.log(len(ids) / n) <= 9.0}
-    made = {(d, k): plain_fingerprint(hashed[d, k], band, t) for d, k, t in both}
+    common = {h for h, n in df.items() if np.log(len(ids) / n) < 3.0}
+    made = {(d, k): plain_fingerprint(hashed[d, k], band, common, t) for d, k, t in both}
     of_part = {}
     for doc, r in rows.items():
         for k, found in enumerate((r.fingerprint, r.edited_fingerprint)):
@@ -152,7 +156,7 @@ def test_fingerprints_equal_a_plain_version(spark, data, texts):
                 assert found == "--" + hashlib.sha256(plain.encode()).hexdigest()
                 continue
             parts = [found[i : i + 6] for i in range(0, len(found), 6)]
-            assert len(parts) == len(plain) == 80
+            assert len(parts) == len(plain) == 64
             for part, terms in zip(parts, plain, strict=True):
                 assert (part == "......") == (not terms) and of_part.setdefault(terms, part) == part
         follow = ids[(ids.index(doc) + 1) % len(ids)]
