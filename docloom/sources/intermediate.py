@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import lru_cache
@@ -50,6 +51,11 @@ class Scratch:
         for t in tables:
             self._delete(self.tables.pop(id(t))[1])
 
+    def release(self) -> None:
+        """Has Spark delete what finished steps shuffled: it does so once the driver's garbage collectors find no use of it."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def close(self) -> None:
         self._delete(self.root)
         self.tables.clear()
