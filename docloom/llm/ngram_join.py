@@ -376,8 +376,9 @@ def joined_rows(docs: DataFrame, tmp: Scratch, shingle: int = 5, percent: int =
 
     Rows without an id are left out.
     """
-    sent = send_tokens(docs.where("doc_id is not null"), shingle, count_ranges(docs))
-    gathered = tmp.store(gather_tokens(shared_tokens(sent), percent))
+    named = docs.where("doc_id is not null")
+    gathered = tmp.store(gather_tokens(shared_tokens(send_tokens(named, shingle, count_ranges(named))), percent))
+    tmp.release()
     slim = gathered.select("row", "doc_id", "n_shingles", "key")
     classes = tmp.store(slim.where("n_shingles > 0").groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("key", F.col("first.row").alias("first")))
     survivors = tmp.store(gathered.where("tokens is not null").join(classes.select(F.col("first").alias("row")), "row", "left_semi"))
@@ -401,6 +402,7 @@ def joined_rows(docs: DataFrame, tmp: Scratch, shingle: int = 5, percent: int =
     rest = verify(candidate_pairs(survivors, signed, labels, percent), survivors, percent)
     more = tmp.store(links.union(rest))
     tmp.drop(links, labels, survivors, signed)
+    tmp.release()
     labels = connected_components(more, tmp)
 
     # a class is a component of copies, or for an empty set the rows of one id
