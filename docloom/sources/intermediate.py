@@ -53,8 +53,9 @@ class Scratch:
 
     def release(self) -> None:
         """Has Spark delete what finished steps shuffled: it does so once the driver's garbage collectors find no use of it."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what the first round frees lets go of the rest
+            gc.collect()
+            self.spark._jvm.System.gc()
 
     def close(self) -> None:
         self._delete(self.root)
