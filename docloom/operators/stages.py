@@ -37,19 +37,48 @@ def bucket(df: DataFrame, value: Column, boundaries: list, default=None, **measu
     return df.groupBy(F.coalesce(lower, outside).alias("bucket")).agg(*(c.alias(n) for n, c in measures.items()))
 
 
+def values_at(df: DataFrame, value: str, ranks: list[int], accuracy: int = 10_000) -> list:
+    """The values at these ranks, from 1, in ascending order; NULLs have no rank.
+
+    Approximate quantiles give a narrow interval around each rank. Values below it are counted, and only those inside it
+    are ordered, by distinct value. An interval that turns out not to hold its rank is widened until it does.
+    """
+    x, n = F.col(value), df.where(F.col(value).isNotNull()).count()
+    found, left, width = {}, sorted(set(ranks)), 2 / accuracy
+    while left:
+        shares = [(max(0.0, (r - 1) / n - width), min(1.0, r / n + width)) for r in left]
+        edges = df.agg(F.percentile_approx(value, [s for pair in shares for s in pair], accuracy)).first()[0]
+        low = [edges[2 * i] if width < 1 else None for i in range(len(left))]  # in the end everything is inside
+        high = [edges[2 * i + 1] if width < 1 else None for i in range(len(left))]
+        under = [F.lit(False) if a is None else x < F.lit(a) for a in low]
+        upto = [F.lit(True) if b is None else x <= F.lit(b) for b in high]
+        counts = df.where(x.isNotNull()).agg(*(F.count_if(c) for c in under + upto)).first()
+        held = [i for i, r in enumerate(left) if counts[i] < r <= counts[len(left) + i]]
+        if held:
+            inside = F.filter(F.array(*(F.when(~under[i] & upto[i], F.lit(i)) for i in held)), lambda i: i.isNotNull())
+            sizes = df.where(x.isNotNull()).select(x.alias("x"), F.explode(inside).alias("i")).groupBy("i", "x").count()
+            target = F.create_map(*(F.lit(v) for i in held for v in (i, left[i] - counts[i])))[F.col("i")]
+            reached = F.sum("count").over(Window.partitionBy("i").orderBy("x"))
+            placed = sizes.withColumn("reached", reached).where((F.col("reached") >= target) & (F.col("reached") - F.col("count") < target))
+            found |= {left[r.i]: r.x for r in placed.select("i", "x").collect()}
+        left, width = [r for r in left if r not in found], width * 8
+    return [found[r] for r in ranks]
+
+
 def bucket_auto(df: DataFrame, value: str, buckets: int, accuracy: int = 10_000, **measures: Column) -> DataFrame:
-    """About equal groups by value, from approximate quantiles, so that rows are never ordered as a whole.
+    """About equal groups by value, cut at exact quantiles; rows are never ordered as a whole.
 
-    Equal values share a group, so there may be fewer groups than asked for. Each has its least and greatest value.
+    Equal values share a group, so there may be fewer groups than asked for; a group's number is that of the cuts below
+    it. Each has its least and greatest value.
     NULLs come before all values, as in a sort: they count towards the first groups and have a group to themselves only
     if they fill one; a group that holds some has NULL as its least value.
     """
     n, nulls = df.agg(F.count("*"), F.count_if(F.col(value).isNull())).first()
-    shares = [(i * n / buckets - nulls) / (n - nulls) for i in range(1, buckets)] if n > nulls else []
-    cuts = df.agg(F.percentile_approx(value, [s for s in shares if s > 0], accuracy)).first()[0] if any(s > 0 for s in shares) else []
-    full = sum(s <= 0 for s in shares) > 0  # NULLs fill the first group
-    place = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c < F.col(value))) if cuts else F.lit(0)
-    made = df.groupBy(F.when(F.col(value).isNull(), 0).otherwise(place + int(full)).alias("bucket"))
+    ranks = [-(-i * n // buckets) - nulls for i in range(1, buckets)] if n > nulls else []
+    cuts = values_at(df, value, [r for r in ranks if r > 0], accuracy)
+    filled = sum(r <= 0 for r in ranks)  # groups that NULLs fill
+    place = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    made = df.groupBy(F.when(F.col(value).isNull(), 0).otherwise(place + filled).alias("bucket"))
     low = F.when(F.count(value) == F.count("*"), F.min(value))
     return made.agg(low.alias("low"), F.max(value).alias("high"), *(c.alias(n) for n, c in measures.items()))
 

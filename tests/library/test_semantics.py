@@ -40,6 +40,16 @@ def test_bucket_auto_counts_nulls_first(spark):
     assert [r.n for r in stages.bucket_auto(only, "x", 2, n=F.count("*")).collect()] == [2]
 
 
+def test_bucket_auto_cuts_at_exact_ranks(spark):
+    for base in (0, 1 << 60):  # doubles cannot tell the latter apart
+        df = spark.range(60_000).repartition(6).select((base + F.col("id") * 7919 % 60_013).alias("x"))
+        values = sorted(r.x for r in df.collect())
+        rows = sorted((r.bucket, r.low, r.high, r.n) for r in stages.bucket_auto(df, "x", 4, n=F.count("*")).collect())
+        assert rows == [(i, values[15_000 * i], values[15_000 * i + 14_999], 15_000) for i in range(4)]
+    tied = spark.createDataFrame([(x,) for x in (1.0, 1.0, 1.0, 2.0, float("nan"))], "x double")
+    assert sorted((r.bucket, r.n) for r in stages.bucket_auto(tied, "x", 4, n=F.count("*")).collect()) == [(0, 3), (2, 1), (3, 1)]
+
+
 def test_samples_change_with_the_seed(spark):
     df = spark.range(1000)
     a, b = ({r.id for r in stages.sample(df, 50, seed).collect()} for seed in (1, 2))
