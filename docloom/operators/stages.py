@@ -169,13 +169,41 @@ def lookup(df: DataFrame, other: DataFrame, local: str | list[str], foreign: str
 def lookup_where(df: DataFrame, other: DataFrame, key: str, condition: Column, name: str) -> DataFrame:
     """Each row, named by the distinct values of ``key``, with the other relation's documents for which a condition on both holds.
 
-    The condition should hold an equality, so that rows meet by a join on it.
+    The condition should hold an equality, so that rows meet by a join on it. Documents are gathered for each row: where
+    measures of those above a value are enough, ``lookup_above`` does without.
     """
     met = df.join(other, condition).groupBy(F.col(key).alias("_key")).agg(F.sort_array(F.collect_list(F.struct(*other.columns))).alias(name))
     none = F.array().cast(met.schema[name].dataType)
     return df.join(met, F.col(key) == F.col("_key"), "left").withColumn(name, F.coalesce(name, none)).drop("_key")
 
 
+#: Stretches of values that a key's rows are ordered in.
+_STRETCHES = 64
+
+
+def lookup_above(df: DataFrame, other: DataFrame, local: tuple[str, str], foreign: tuple[str, str], **measures: tuple[Column, Callable]) -> DataFrame:
+    """Each row with measures of the other relation's documents of equal key and greater value; NULL without any.
+
+    ``local`` and ``foreign`` name key and value, numbers or dates. A measure is an aggregate of documents and the function
+    that merges such aggregates: ``(F.count("*"), F.sum)``. Rows and documents never meet in pairs: both come down to their
+    distinct values, which are added up in descending order, in stretches between approximate quantiles of a key.
+    """
+    pair = lambda d, names: d.where(F.col(names[0]).isNotNull() & F.col(names[1]).isNotNull()).withColumns({"_k": F.col(names[0]), "_v": F.col(names[1])})
+    merged = [merge(n).alias(n) for n, (_, merge) in measures.items()]
+    points = pair(other, foreign).groupBy("_k", "_v").agg(*(c.alias(n) for n, (c, _) in measures.items()))
+    asked = pair(df, local).select("_k", "_v").distinct()
+    edges = points.groupBy("_k").agg(F.percentile_approx("_v", [i / _STRETCHES for i in range(1, _STRETCHES)], 1000).alias("_edges"))
+    both = points.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    placed = both.join(edges, "_k").withColumn("_s", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
+    higher = Window.partitionBy("_k").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = placed.groupBy("_k", "_s").agg(*merged).select("_k", "_s", *(merge(n).over(higher).alias(n) for n, (_, merge) in measures.items()))
+    # a stretch begins with what lies above it; at one value, what is asked comes before the documents
+    lines = placed.withColumn("_first", F.lit(False)).unionByName(ahead.withColumn("_first", F.lit(True)), allowMissingColumns=True)
+    upto = Window.partitionBy("_k", "_s").orderBy(F.desc("_first"), F.desc("_v"), F.desc("_asked")).rowsBetween(Window.unboundedPreceding, 0)
+    found = lines.select("_k", "_v", "_asked", *(merge(n).over(upto).alias(n) for n, (_, merge) in measures.items())).where("_asked").drop("_asked")
+    return df.join(found, (F.col(local[0]) == F.col("_k")) & (F.col(local[1]) == F.col("_v")), "left").drop("_k", "_v")
+
+
 def sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n rows drawn at random: a top-n by a random key."""
     return df.orderBy(F.rand(seed)).limit(n)

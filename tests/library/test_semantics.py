@@ -50,6 +50,22 @@ def test_bucket_auto_cuts_at_exact_ranks(spark):
     assert sorted((r.bucket, r.n) for r in stages.bucket_auto(tied, "x", 4, n=F.count("*")).collect()) == [(0, 3), (2, 1), (3, 1)]
 
 
+def test_lookups_above_a_value_make_no_pairs(spark):
+    key = lambda k: F.when(F.col("id") % k > 0, F.col("id") % 3)
+    value = lambda p, k: F.when(F.col("id") % k > 0, F.when(F.col("id") % 97 == 1, float("nan")).otherwise(F.col("id") * p % 500 / 2.0))
+    df = spark.range(700).select("id", key(50).alias("k"), value(7, 60).alias("x"))
+    other = spark.range(900).select(F.col("id").alias("doc"), key(40).alias("k2"), value(11, 70).alias("y"))
+    gathered = stages.lookup_where(df, other, "id", (F.col("k2") == F.col("k")) & (F.col("y") > F.col("x")), "found")
+    plain = {(r.id, r.n or None, r.least) for r in gathered.select("id", F.size("found").alias("n"), F.array_min("found.doc").alias("least")).collect()}
+    measures = {"n": (F.count("*"), F.sum), "least": (F.min("doc"), F.min)}
+    made = stages.lookup_above(df, other, ("k", "x"), ("k2", "y"), **measures)
+    assert {(r.id, r.n, r.least) for r in made.collect()} == plain and len(plain) == 700
+    # 1,600 million pairs of one key, never met
+    many = spark.range(40_000).select("id", F.lit(1).alias("k"), (F.col("id") % 5_000).alias("x"))
+    top = stages.lookup_above(many, many.toDF("doc", "k2", "y"), ("k", "x"), ("k2", "y"), **measures).agg(F.sum("n"), F.count("*")).first()
+    assert tuple(top) == (sum(8 * (4_999 - x) for x in range(5_000)) * 8, 40_000)
+
+
 def test_samples_change_with_the_seed(spark):
     df = spark.range(1000)
     a, b = ({r.id for r in stages.sample(df, 50, seed).collect()} for seed in (1, 2))
