@@ -11,13 +11,14 @@ or more; two are near duplicates if the sets of their tokens have a likeness of
    A node with its span is a compact window: every run inside the span that covers the node has that node's token as
    its min-hash. Spans shorter than a passage are left out.
 3. Windows of neighbouring hash functions whose intervals overlap by a passage's length are joined: runs inside both
-   share two min-hashes. Texts that have the same two min-hashes in such a joint window are candidates: they are
-   ordered by a third min-hash, and each is paired with the first of those that have its third, the first of these with
-   the first of all, and each with the one before it.
-   Copies of one window inside a batch are paired at once, so a window that very many texts hold is shuffled once a
-   batch.
+   share two min-hashes. Regions of equal tokens are copies, and one of them goes on. Regions that have the same two
+   min-hashes in such a joint window are candidates. First they are ordered by a third min-hash, and each is paired with
+   the first of those that have its third, the first of these with the first of all, and each with the one before it.
 4. Candidates are verified on the tokens themselves: the stretches of either region that are mostly tokens of the
-   other must be long enough, and their sets alike enough.
+   other must be long enough, and their sets alike enough. Passages that overlap or are linked are of one class.
+5. Then every pair of candidates that is left is verified too, unless the nodes of both windows lie in passages of one
+   class already or sketches show that the two have too little in common. Of keys that the same regions hold up to three
+   are met, large groups in pairs of blocks.
 
 With 6 hash functions in a ring, two passages of likeness 0.75 agree under two neighbours with probability 0.962 at any
 one place (0.981 at 0.80); longer passages have several places. README has the recall that was measured.
@@ -37,8 +38,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docloom.llm.common import Scratch, map_batches, raw_texts, slices
+from docloom.llm.components import connected_components
 from docloom.llm.ngram_join import _SENT, _pack, _rows, _unpack, by_group, count_ranges, range_edges, ranges_of, token_batches
 from docloom.llm.shingles import U, mix, shingle_hashes, spread, word_hashes
 
@@ -219,10 +222,10 @@ def overlapping(one: np.ndarray, other: np.ndarray, least: int, most: int = 1 <<
     return tuple(np.concatenate([o[k] for o in out]) for k in range(4))
 
 
-def joint_windows(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the pairs of min-hashes that windows of neighbouring hash functions share, each with a third min-hash.
+def joint_windows(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the pairs of min-hashes that windows of neighbouring hash functions share, each with a third min-hash and a place.
 
-    Keys are distinct and ascend. The third is the least value of another hash function near the first one's node.
+    Keys are distinct and ascend. The place is the first one's node. The third is the least value of another hash function near the first one's node.
     """
     lone = tokens < 0
     hashes, windows = [], []
@@ -237,7 +240,7 @@ def joint_windows(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarra
     around = np.array(hashes)
     for width in (1 << i for i in range(half.bit_length())):
         around[:, :-width] = np.minimum(around[:, :-width], around[:, width:])
-    keys, thirds = [np.zeros(0, U)], [np.zeros(0, U)]
+    keys, thirds, places = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for k in range(HASHES):
         other = (k + 1) % HASHES
         if len(windows[k]) and len(windows[other]):
@@ -245,87 +248,143 @@ def joint_windows(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarra
             x, y = windows[k][i, 0], windows[other][j, 0]
             keys.append(mix(mix(hashes[k][x] ^ U(k + 1)) + hashes[other][y]))
             thirds.append(around[(k + 3) % HASHES][np.maximum(0, x - half)])
+            places.append(x)
     made, first = np.unique(np.concatenate(keys).view(np.int64), return_index=True)
-    return made, np.concatenate(thirds).view(np.int64)[first]
+    return made, np.concatenate(thirds).view(np.int64)[first], np.concatenate(places)[first]
 
 
-_MET = "key long, third long, row long, start int, other long, other_start int"
-_MET_NAMES = ["key", "third", "row", "start", "other", "other_start"]
-_MET_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+_WINDOWS = "key long, third long, region long, owner long, place int"
+_PAIRS = "region long, other long"
 
 
-def _met(columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _MET_KINDS, strict=True)], names=_MET_NAMES)
-
-
-def next_to(fresh: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of rows in order, ``fresh`` where a group begins: each row next to its group's first and the one before it.
-
-    Pairs of one document are left out.
-    """
-    at = np.arange(len(fresh))
-    first = np.maximum.accumulate(np.where(fresh, at, 0))
-    later = at[~fresh]
-    a, b = np.concatenate([later, later]), np.concatenate([first[later], later - 1])
-    apart = row[a] != row[b]
-    return a[apart], b[apart]
+def _longs(columns: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
 def region_windows(found: DataFrame, least: int) -> DataFrame:
-    """Joint windows of all regions (key, third, row, start), each once a batch, and pairs of regions found in a batch."""
+    """Joint windows of all regions, each with the place of its first node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [joint_windows(np.asarray(x.values), least) for x in batch.column("tokens")]
-            n = [len(keys) for keys, _ in made]
-            key, third = (np.concatenate([m[i] for m in made] or [np.zeros(0, np.int64)]) for i in (0, 1))
-            row, start = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64), n) for c in ("row", "start"))
-            order = np.lexsort((start, row, third, key))
-            key, third, row, start = key[order], third[order], row[order], start[order]
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (third[1:] != third[:-1])
-            a, b = next_to(fresh, row)
-            heads = np.flatnonzero(fresh)
-            other = np.ones(len(heads), bool)
-            other[1:] = key[heads[1:]] != key[heads[:-1]]
-            c, d = next_to(other, row[heads])
-            a, b = np.concatenate([a, heads[c]]), np.concatenate([b, heads[d]])
-            pairs = np.unique(np.stack([row[a], start[a], row[b], start[b]], axis=1), axis=0)
-            none = lambda n, kind: pa.nulls(n, kind)
-            for at in range(0, len(heads), 200_000):
-                some = heads[at : at + 200_000]
-                yield _met([key[some], third[some], row[some], start[some], none(len(some), pa.int64()), none(len(some), pa.int32())])
-            yield _met([none(len(pairs), pa.int64()), none(len(pairs), pa.int64()), *pairs.T])
-
-    return map_batches(found.select("row", "start", "tokens"), run, _MET)
+            n = [len(keys) for keys, _, _ in made]
+            key, third, place = (np.concatenate([m[i] for m in made] or [np.zeros(0, np.int64)]) for i in range(3))
+            region, owner = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64), n) for c in ("region", "owner"))
+            for at in range(0, len(key), 200_000):
+                columns = [pa.array(c[at : at + 200_000]) for c in (key, third, region, owner, place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "third", "region", "owner", "place"])
+
+    return map_batches(found.select("region", "owner", "tokens"), run, _WINDOWS)
 
 
 def led_windows(windows: DataFrame) -> DataFrame:
-    """Pairs (row, start, other, other_start) of regions that share a joint window, across batches.
+    """Pairs (region, other) of regions that share a joint window: the first ones to verify.
 
     Rows of one key are streamed in order of their third min-hash: each is paired with the first one of that, or, if it
-    is this one itself, with the first of all; and with the one before it. They are at most as many as batches hold the
-    key in windows of different third min-hash.
+    is this one itself, with the first of all; and with the one before it. ``pairs_left`` makes the others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = head = last = (None, None, None, None)
         for batch in batches:
             pairs: dict[tuple, None] = {}
-            for r in zip(*(batch.column(c).to_pylist() for c in _MET_NAMES[:4]), strict=True):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("key", "third", "region", "owner")), strict=True):
                 if r[0] != first[0]:
                     first = head = last = r
                     continue
                 if r[1] != head[1]:
                     head = r
                 for lead in (first if head is r else head, last):
-                    if lead[2] != r[2]:
-                        pairs[None, None, r[2], r[3], lead[2], lead[3]] = None
+                    if lead[3] != r[3]:
+                        pairs[min(lead[2], r[2]), max(lead[2], r[2])] = None
                 last = r
-            yield _met([[p[i] for p in pairs] for i in range(6)])
+            yield _longs([[p[i] for p in pairs] for i in (0, 1)], ["region", "other"])
+
+    placed = windows.select("key", "third", "region", "owner").repartition("key").sortWithinPartitions("key", "third", "region")
+    return map_batches(placed, run, _PAIRS).distinct()
+
+
+def passage_classes(links: DataFrame, tmp: Scratch) -> DataFrame:
+    """(region, from, to, label): stretches of regions that verified passages cover, by class."""
+    spans = links.select("region", "lo", "hi").union(links.select("other", "lo2", "hi2")).distinct()
+    before = Window.partitionBy("region").orderBy("lo", "hi")
+    reach = F.max("hi").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    begun = spans.withColumn("from", F.when(reach.isNull() | (F.col("lo") >= reach), F.col("lo")))
+    named = begun.withColumn("from", F.last("from", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    named = tmp.store(named.withColumn("node", F.xxhash64("region", "from")))
+    side = lambda region, lo, hi, node: named.select(F.col("region").alias(region), F.col("lo").alias(lo), F.col("hi").alias(hi), F.col("node").alias(node))
+    edges = links.where("region <> other").join(side("region", "lo", "hi", "u"), ["region", "lo", "hi"]).join(side("other", "lo2", "hi2", "v"), ["other", "lo2", "hi2"])
+    classes = connected_components(edges.select("u", "v"), tmp)
+    stretches = named.groupBy("region", "from", "node").agg(F.max("hi").alias("to"))
+    out = tmp.store(stretches.join(classes, "node", "left").select("region", "from", "to", F.coalesce("component", "node").alias("label")))
+    tmp.drop(named, classes)
+    return out
 
-    placed = windows.select(*_MET_NAMES[:4]).repartition("key").sortWithinPartitions("key", "third", "row", "start")
-    return map_batches(placed, run, _MET).select(*_MET_NAMES[2:])
+
+#: Regions of a key that are met in one block, and bits of a sketch.
+_BLOCK, _BITS = 512, 1 << 14
+
+
+def sketches(found: DataFrame) -> DataFrame:
+    """Per region the bits that its distinct tokens set, as 16-bit places, and by how many these are fewer than the tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [(u := np.unique(np.asarray(x.values)))[np.searchsorted(u, 0) :] for x in batch.column("tokens")]
+            bits = [np.unique((t & (_BITS - 1)).astype(np.uint16)) for t in tokens]
+            extra = [len(t) - len(b) for t, b in zip(tokens, bits, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("region"), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(extra, pa.int32())], names=["region", "bits", "extra"])
+
+    return map_batches(found.select("region", "tokens"), run, "region long, bits binary, extra int")
+
+
+def shared_windows(windows: DataFrame) -> DataFrame:
+    """The windows of two regions or more, by key, with the number of these regions.
+
+    Of keys that the same regions share, those of the first and last nodes and one between stay.
+    """
+    marks = (F.bit_xor(F.xxhash64("region")).alias("x"), F.bit_xor(F.xxhash64("region", F.lit(1))).alias("y"))
+    keys = windows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("place").cast("long")).alias("at"), *marks).where("n > 1")
+    some = keys.groupBy("n", "x", "y").agg(F.array_distinct(F.array(F.min_by("key", "at"), F.max_by("key", "at"), F.min("key"))).alias("key"))
+    return windows.select("key", "region", "owner", "place").join(some.select(F.explode("key").alias("key"), "n"), "key")
+
+
+def pairs_left(shared: DataFrame, classes: DataFrame, sketched: DataFrame, least: int, percent: int) -> DataFrame:
+    """Pairs (region, other) that share a joint window, but for those whose nodes lie in passages of one class.
+
+    Pairs whose sketches show that they have too few tokens in common for a passage are left out: common tokens are at
+    most the common bits and what either side lost in its sketch.
+    """
+    placed = shared.alias("w").join(classes.alias("c"), F.expr("w.region = c.region and w.place >= c.from and w.place < c.to"), "left")
+    placed = placed.select("key", "n", "w.region", "owner", "label")
+    known = placed.groupBy("key").agg(F.count("*").alias("n"), F.count("label").alias("known"), F.min("label").alias("low"), F.max("label").alias("high"))
+    blocks = F.ceil(F.col("n") / _BLOCK)
+    met = placed.join(known.where("not (known = n and low = high)").select("key"), "key").select("key", "region", "owner", "label", blocks.alias("blocks"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("region"), "blocks"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(sketched, "region")
+    tile = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    enough = -(-2 * percent * least // (100 + percent))
+
+    def meet(rows: list[tuple]) -> pa.RecordBatch:
+        region, owner, own, extra = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 4, 6))
+        known = np.array([r[3] is not None for r in rows])
+        label = np.array([r[3] or 0 for r in rows], np.int64)
+        apart = (owner[:, None] != owner) & (region[:, None] < region) & ~(known[:, None] & known & (label[:, None] == label))
+        if (own != own[0]).any():  # two blocks: each is a tile of its own too
+            apart &= own[:, None] != own
+        set_ = np.zeros((len(rows), _BITS), bool)
+        for i, r in enumerate(rows):
+            set_[i, np.frombuffer(r[5], np.uint16)] = True
+        packed = np.packbits(set_, axis=1).view(U)
+        del set_
+        pairs = [np.zeros((0, 2), np.int64)]
+        for i in np.flatnonzero(apart.any(axis=1)).tolist():
+            j = np.flatnonzero(apart[i])
+            j = j[np.bitwise_count(packed[i] & packed[j]).sum(axis=1, dtype=np.int64) + np.minimum(extra[i], extra[j]) >= enough]
+            pairs.append(np.stack([np.full(len(j), region[i]), region[j]], axis=1))
+        return _longs(list(np.concatenate(pairs).T), ["region", "other"])
+
+    return by_group(met.select(tile.alias("tile"), "region", "owner", "label", "own", "bits", "extra"), "tile", meet, _PAIRS).distinct()
 
 
 def _within(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -355,20 +414,22 @@ def common_passages(s: np.ndarray, t: np.ndarray, least: int, percent: int) -> l
     return out
 
 
+_LINKS = "region long, lo int, hi int, other long, lo2 int, hi2 int"
+
+
 def verified(pairs: DataFrame, found: DataFrame, least: int, percent: int) -> DataFrame:
-    """Passages (a, a_from, a_to, b, b_from, b_to), in tokens, of the pairs of regions that hold any; a and b are ids."""
-    side = lambda x, row, start: found.select(F.col("row").alias(row), F.col("start").alias(start), F.col("doc_id").alias(x), F.col("tokens").alias(f"{x}_tokens"))
+    """Passages (region, lo, hi, other, lo2, hi2), in tokens of their regions, of the pairs of regions that hold any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for a, a0, b, b0, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "start", "b", "other_start")), batch.column("a_tokens"), batch.column("b_tokens"), strict=True):
-                out += [(a, a0 + lo, a0 + hi, b, b0 + lo2, b0 + hi2) for lo, hi, lo2, hi2 in common_passages(np.asarray(x.values), np.asarray(y.values), least, percent)]
+            for a, b, x, y in zip(batch.column("region").to_pylist(), batch.column("other").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                out += [(a, lo, hi, b, lo2, hi2) for lo, hi, lo2, hi2 in common_passages(np.asarray(x.values), np.asarray(y.values), least, percent)]
             kinds = (pa.int64(), pa.int32(), pa.int32()) * 2
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["a", "a_from", "a_to", "b", "b_from", "b_to"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["region", "lo", "hi", "other", "lo2", "hi2"])
 
-    met = pairs.join(side("a", "row", "start"), ["row", "start"]).join(side("b", "other", "other_start"), ["other", "other_start"])
-    return map_batches(met.select("a", "start", "b", "other_start", "a_tokens", "b_tokens"), run, "a long, a_from int, a_to int, b long, b_from int, b_to int")
+    met = pairs.join(found.select("region", F.col("tokens").alias("x")), "region").join(found.select(F.col("region").alias("other"), F.col("tokens").alias("y")), "other")
+    return map_batches(met.select("region", "other", "x", "y"), run, _LINKS)
 
 
 _NAMES = ("doc_id", "first_word", "end_word", "other_id", "other_first_word", "other_end_word")
@@ -377,8 +438,9 @@ _NAMES = ("doc_id", "first_word", "end_word", "other_id", "other_first_word", "o
 def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5, percent: int = 75, tmp: Scratch | None = None) -> DataFrame:
     """doc_id, first_word, end_word, other_id, other_first_word, other_end_word: passages that another document repeats.
 
-    Every document that holds a repeated passage has a row for it, next to one other document that holds it too. The
-    result is read from tables of ``tmp``.
+    Every document that holds a repeated passage has a row for it, next to another document that holds it too. Rows are the
+    links between passages that differ; links inside a class that others connect already may be left out, and of equal
+    passages one has the links, the others a row next to it. The result is read from tables of ``tmp``.
     """
     tmp = tmp or Scratch(docs.sparkSession)
     least = least_words - shingle + 1
@@ -388,18 +450,36 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5,
     texts = found.where("start is null")
     copies = texts.groupBy("key").agg(F.min("row").alias("row"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     own = tmp.store(found.where("start is not null").join(copies.select("row"), "row", "left_semi").select("row", "doc_id", "start", "tokens"))
-    windows = tmp.store(region_windows(own, least))
-    near = windows.where("other is not null").select(*_MET_NAMES[2:])
-    pairs = tmp.store(near.union(led_windows(windows.where("other is null"))).distinct())
+    # regions of equal tokens are copies of the first one, which goes on; a region of one document alone is never met with others of it
+    marks = (F.xxhash64("tokens").alias("x"), F.hash("tokens").alias("y"))
+    place = F.struct("row", "start", "doc_id")
+    alike = own.groupBy(*marks).agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    named = tmp.store(alike.withColumn("region", F.monotonically_increasing_id()))
+    many = F.col("low.row") < F.col("high.row")
+    first = named.select(F.col("low.row").alias("row"), F.col("low.start").alias("start"), "region", F.when(many, -1 - F.col("region")).otherwise(F.col("low.row")).alias("owner"))
+    leads = tmp.store(own.join(first, ["row", "start"]).select("region", "owner", "tokens"))
+    windows = tmp.store(region_windows(leads, least))
+    pairs = tmp.store(led_windows(windows))
+    own_pairs = leads.where("owner < 0").select("region", F.col("region").alias("other"))
+    shared, sketched = tmp.store(shared_windows(windows)), tmp.store(sketches(leads))
     tmp.drop(windows)
-    held = verified(pairs, own, least, percent)
-    end = lambda c: (F.col(c) + shingle - 1).alias(c)
-    held = tmp.store(held.select("a", "a_from", end("a_to"), "b", "b_from", end("b_to")))
-    tmp.drop(pairs, own)
-    # one row per passage of a document: both sides of each pair, the first one's with the partner of smallest id
-    both = held.toDF(*_NAMES).union(held.select("b", "b_from", "b_to", "a", "a_from", "a_to").toDF(*_NAMES))
+    links = tmp.store(verified(pairs.union(own_pairs), leads, least, percent))
+    classes = passage_classes(links, tmp)
+    left = tmp.store(pairs_left(shared, classes, sketched, least, percent).join(pairs, ["region", "other"], "left_anti"))
+    tmp.drop(shared, sketched, classes, pairs)
+    links = links.union(tmp.store(verified(left, leads, least, percent)))
+    tmp.drop(left, leads)
+    # a first region is next to all it is linked with; its copies, next to one of them or to what they are copies of
+    both = links.union(links.where("region <> other").select("other", "lo2", "hi2", "region", "lo", "hi"))
+    few = both.groupBy("region", "lo", "hi").agg(F.min(F.struct((F.col("region") != F.col("other")).alias("apart"), "other", "lo2", "hi2")).alias("o")).select("region", "lo", "hi", "o.other", "o.lo2", "o.hi2")
+    ids = own.select("row", "start", "doc_id", *marks).join(named, ["x", "y"]).select("region", "row", "start", "doc_id", ((F.col("low.row") == F.col("row")) & (F.col("low.start") == F.col("start"))).alias("leads"))
+    sides = ids.where("leads").join(both, "region").union(ids.where("not leads").join(few, "region"))
+    there = sides.join(named.select(F.col("region").alias("other"), "low", "high"), "other")
+    partner = F.when(F.col("low.row") != F.col("row"), F.col("low")).when(F.col("high.row") != F.col("row"), F.col("high"))
+    there = there.withColumn("p", partner).where("p is not null")
+    span = lambda start, lo, hi: (F.col(start) + F.col(lo), F.col(start) + F.col(hi) + shingle - 1)
+    held = there.select("doc_id", *span("start", "lo", "hi"), "p.doc_id", *span("p.start", "lo2", "hi2")).toDF(*_NAMES)
     whole = texts.select("key", "doc_id", "size").distinct().join(copies.where("low < high"), "key")
     words = (F.col("size") + shingle - 1).cast("int")
     whole = whole.select("doc_id", F.lit(0), words, F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")), F.lit(0), words).toDF(*_NAMES)
-    other = F.struct("other_id", "other_first_word", "other_end_word")
-    return both.union(whole).groupBy("doc_id", "first_word", "end_word").agg(F.min(other).alias("o")).select("doc_id", "first_word", "end_word", "o.*")
+    return held.union(whole).distinct()

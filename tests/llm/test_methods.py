@@ -382,6 +382,23 @@ def test_near_passages_are_found(spark):
     print("recall", len(found & truth) / len(truth), "beyond", len(found - truth))
 
 
+def test_passages_are_found_beside_unlike_ones_that_share_their_windows(spark):
+    """Pairs of near copies; all share a stretch that is too short for a passage but decides most min-hashes."""
+    rng, made = random.Random(8), iter(range(10**9))
+    fresh = lambda n: [f"w{next(made)}" for _ in range(n)]
+    core, docs = fresh(42), []
+    for _ in range(150):
+        own = core + fresh(16)
+        near = own[:-2] + fresh(2)
+        docs += [fresh(rng.randint(0, 20)) + x + fresh(rng.randint(0, 20)) for x in (own, near)]
+    rng.shuffle(docs)
+    truth = plain_near(dict(enumerate(docs)))
+    rows = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(5)).collect()
+    found = {r.doc_id for r in rows}
+    print("recall", len(found & truth) / len(truth), "beyond", len(found - truth))
+    assert len(truth) == len(docs) and len(found) >= 0.99 * len(docs)
+
+
 def test_exact_passages_are_found_beside_other_repeated_text(spark):
     made = iter(range(10**9))
     fresh = lambda n: [f"w{next(made)}" for _ in range(n)]
