@@ -13,12 +13,14 @@ or more; two are near duplicates if the sets of their tokens have a likeness of
 3. Windows of neighbouring hash functions whose intervals overlap by a passage's length are joined: runs inside both
    share two min-hashes. Regions of equal tokens are copies, and one of them goes on. Regions that have the same two
    min-hashes in such a joint window are candidates. First they are ordered by a third min-hash, and each is paired with
-   the first of those that have its third, the first of these with the first of all, and each with the one before it.
+   the first of those that have its third, or the first of these with the first of all.
 4. Candidates are verified on the tokens themselves: the stretches of either region that are mostly tokens of the
-   other must be long enough, and their sets alike enough. Passages that overlap or are linked are of one class.
-5. Then every pair of candidates that is left is verified too, unless the nodes of both windows lie in passages of one
-   class already or sketches show that the two have too little in common. Of keys that the same regions hold up to three
-   are met, large groups in pairs of blocks.
+   other must be long enough, and their sets alike enough. Passages that are linked, or overlap by half the least length
+   or more, are of one class.
+5. Every other pair of candidates is tried unless the nodes of both windows lie in passages of one class already, on
+   sketches of the tokens around the nodes: each must lie in a run that is mostly tokens of the other's surroundings.
+   Large groups are met in pairs of blocks. Pairs that would join classes or regions of none are verified first, then,
+   under the classes that result, every pair left.
 
 With 6 hash functions in a ring, two passages of likeness 0.75 agree under two neighbours with probability 0.962 at any
 one place (0.981 at 0.80); longer passages have several places. README has the recall that was measured.
@@ -254,11 +256,14 @@ def joint_windows(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarra
 
 
 _WINDOWS = "key long, third long, region long, owner long, place int"
+_MET = "key long, region long, owner long, place int, other long"
 _PAIRS = "region long, other long"
 
 
-def _longs(columns: list, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+def _record(columns: list, schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
 
 
 def region_windows(found: DataFrame, least: int) -> DataFrame:
@@ -271,53 +276,76 @@ def region_windows(found: DataFrame, least: int) -> DataFrame:
             key, third, place = (np.concatenate([m[i] for m in made] or [np.zeros(0, np.int64)]) for i in range(3))
             region, owner = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64), n) for c in ("region", "owner"))
             for at in range(0, len(key), 200_000):
-                columns = [pa.array(c[at : at + 200_000]) for c in (key, third, region, owner, place.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "third", "region", "owner", "place"])
+                yield _record([c[at : at + 200_000] for c in (key, third, region, owner, place.astype(np.int32))], _WINDOWS)
 
     return map_batches(found.select("region", "owner", "tokens"), run, _WINDOWS)
 
 
 def led_windows(windows: DataFrame) -> DataFrame:
-    """Pairs (region, other) of regions that share a joint window: the first ones to verify.
+    """The windows that regions of two owners or more share, and, in rows without a key, the first pairs (region, other) to verify.
 
-    Rows of one key are streamed in order of their third min-hash: each is paired with the first one of that, or, if it
-    is this one itself, with the first of all; and with the one before it. ``pairs_left`` makes the others.
+    Regions of one key stand in order of their third min-hash: each is paired with the first one of that, or, if it is
+    this one itself, with the first of all. ``open_pairs`` makes the others.
     """
 
+    def meet(x: np.ndarray) -> list[pa.RecordBatch]:
+        key, third, region, owner, place = x
+        at = np.arange(len(key))
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        begins = np.flatnonzero(fresh)
+        apart = np.minimum.reduceat(owner, begins) < np.maximum.reduceat(owner, begins)
+        kept = apart[np.cumsum(fresh) - 1]
+        alike = ~fresh
+        alike[1:] &= third[1:] == third[:-1]
+        first, head = (np.maximum.accumulate(np.where(m, at, 0)) for m in (fresh, ~alike))
+        lead = np.where(head == at, first, head)
+        i = np.flatnonzero(kept & (owner != owner[lead]))
+        pairs = np.unique(np.sort(np.stack([region[i], region[lead[i]]], axis=1), axis=1), axis=0)
+        none = lambda n: pa.nulls(n, pa.int64())
+        shared = [c[kept] for c in (key, region, owner, place.astype(np.int32))]
+        return [
+            _record([*shared, none(int(kept.sum()))], _MET),
+            _record([none(len(pairs)), pairs[:, 0], none(len(pairs)), pa.nulls(len(pairs), pa.int32()), pairs[:, 1]], _MET),
+        ]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = head = last = (None, None, None, None)
+        held: list[np.ndarray] = []  # rows of the key at hand
         for batch in batches:
-            pairs: dict[tuple, None] = {}
-            for r in zip(*(batch.column(c).to_pylist() for c in ("key", "third", "region", "owner")), strict=True):
-                if r[0] != first[0]:
-                    first = head = last = r
-                    continue
-                if r[1] != head[1]:
-                    head = r
-                for lead in (first if head is r else head, last):
-                    if lead[3] != r[3]:
-                        pairs[min(lead[2], r[2]), max(lead[2], r[2])] = None
-                last = r
-            yield _longs([[p[i] for p in pairs] for i in (0, 1)], ["region", "other"])
-
-    placed = windows.select("key", "third", "region", "owner").repartition("key").sortWithinPartitions("key", "third", "region")
-    return map_batches(placed, run, _PAIRS).distinct()
-
-
-def passage_classes(links: DataFrame, tmp: Scratch) -> DataFrame:
-    """(region, from, to, label): stretches of regions that verified passages cover, by class."""
-    spans = links.select("region", "lo", "hi").union(links.select("other", "lo2", "hi2")).distinct()
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            if not x.shape[1]:
+                continue
+            if not held or held[0][0, 0] != x[0, -1]:
+                cut = int(np.searchsorted(x[0], x[0, -1]))
+                if held or cut:
+                    yield from meet(np.concatenate([*held, x[:, :cut]], axis=1))
+                held, x = [], x[:, cut:]
+            held.append(x)
+        if held:
+            yield from meet(np.concatenate(held, axis=1))
+
+    return map_batches(windows.repartition("key").sortWithinPartitions("key", "third", "region"), run, _MET)
+
+
+def passage_classes(links: DataFrame, least: int, tmp: Scratch) -> DataFrame:
+    """(region, lo, hi, label, other, lo2, hi2): stretches of regions that verified passages cover, by class, each next to one passage.
+
+    Passages of a region that overlap by half of ``least`` are one stretch, so a region has at most as many as its
+    length gives room for. The passage is one of an exact copy or else the longest.
+    """
+    ids = links.withColumn("id", F.xxhash64("region", "lo", "hi", "other", "lo2", "hi2"))
+    sides = ids.select("id", *_LINK).union(ids.where("region <> other").select("id", *_LINK[3:], *_LINK[:3]))
     before = Window.partitionBy("region").orderBy("lo", "hi")
     reach = F.max("hi").over(before.rowsBetween(Window.unboundedPreceding, -1))
-    begun = spans.withColumn("from", F.when(reach.isNull() | (F.col("lo") >= reach), F.col("lo")))
+    begun = sides.withColumn("from", F.when(reach.isNull() | (F.col("lo") > reach - least // 2), F.col("lo")))
     named = begun.withColumn("from", F.last("from", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, 0)))
     named = tmp.store(named.withColumn("node", F.xxhash64("region", "from")))
-    side = lambda region, lo, hi, node: named.select(F.col("region").alias(region), F.col("lo").alias(lo), F.col("hi").alias(hi), F.col("node").alias(node))
-    edges = links.where("region <> other").join(side("region", "lo", "hi", "u"), ["region", "lo", "hi"]).join(side("other", "lo2", "hi2", "v"), ["other", "lo2", "hi2"])
-    classes = connected_components(edges.select("u", "v"), tmp)
-    stretches = named.groupBy("region", "from", "node").agg(F.max("hi").alias("to"))
-    out = tmp.store(stretches.join(classes, "node", "left").select("region", "from", "to", F.coalesce("component", "node").alias("label")))
-    tmp.drop(named, classes)
+    labels = connected_components(named.groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("v")).select("u", "v"), tmp)
+    best = F.max_by(F.struct("other", "lo2", "hi2"), F.struct(F.col("region") == F.col("other"), F.col("hi") - F.col("lo"), -F.col("other"), -F.col("lo2"), F.col("hi2")))
+    stretches = named.groupBy("region", F.col("from").alias("begin"), "node").agg(F.max("hi").alias("end"), best.alias("o"))
+    label = F.coalesce("component", "node").alias("label")
+    out = tmp.store(stretches.join(labels, "node", "left").select("region", F.col("begin").alias("lo"), F.col("end").alias("hi"), label, "o.*"))
+    tmp.drop(named, labels)
     return out
 
 
@@ -325,66 +353,133 @@ def passage_classes(links: DataFrame, tmp: Scratch) -> DataFrame:
 _BLOCK, _BITS = 512, 1 << 14
 
 
-def sketches(found: DataFrame) -> DataFrame:
-    """Per region the bits that its distinct tokens set, as 16-bit places, and by how many these are fewer than the tokens."""
+def labelled(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """``shared`` with the class of the stretch that a window's first node lies in, in keys whose nodes are not all of one class."""
+    spans = classes.groupBy("region").agg(F.collect_list(F.struct("lo", "hi", "label")).alias("spans"))
+    label = F.expr("array_min(transform(filter(spans, s -> place >= s.lo and place < s.hi), s -> s.label))")
+    of_key = Window.partitionBy("key")
+    placed = shared.join(spans, "region", "left").withColumn("label", label).drop("spans")
+    placed = placed.withColumn("n", F.count("*").over(of_key)).withColumn("known", F.count("label").over(of_key))
+    placed = placed.withColumn("low", F.min("label").over(of_key)).withColumn("high", F.max("label").over(of_key))
+    return placed.where("not (known = n and low = high)").drop("known", "low", "high")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = [(u := np.unique(np.asarray(x.values)))[np.searchsorted(u, 0) :] for x in batch.column("tokens")]
-            bits = [np.unique((t & (_BITS - 1)).astype(np.uint16)) for t in tokens]
-            extra = [len(t) - len(b) for t, b in zip(tokens, bits, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("region"), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(extra, pa.int32())], names=["region", "bits", "extra"])
 
-    return map_batches(found.select("region", "tokens"), run, "region long, bits binary, extra int")
+_SKETCHED = "key long, region long, owner long, place int, several boolean, far boolean, lost int, line binary, around binary"
 
 
-def shared_windows(windows: DataFrame) -> DataFrame:
-    """The windows of two regions or more, by key, with the number of these regions.
+def sketches(open_: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """The windows with sketches of the tokens around their first node, as 16-bit places of bits.
 
-    Of keys that the same regions share, those of the first and last nodes and one between stay.
+    ``line``: of each place less than ``least`` places away, in order, 65,535 where a token is met in no other document.
+    ``around``: the further bits of places up to twice as far, or of 20 times as far where tokens repeat nearby. If the
+    node's token has ``several`` places, those near any. ``lost``: by how many the bits are fewer than the tokens.
+    ``far``: nearly all that is around repeats, so a passage may get its tokens from further away.
     """
-    marks = (F.bit_xor(F.xxhash64("region")).alias("x"), F.bit_xor(F.xxhash64("region", F.lit(1))).alias("y"))
-    keys = windows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("place").cast("long")).alias("at"), *marks).where("n > 1")
-    some = keys.groupBy("n", "x", "y").agg(F.array_distinct(F.array(F.min_by("key", "at"), F.max_by("key", "at"), F.min("key"))).alias("key"))
-    return windows.select("key", "region", "owner", "place").join(some.select(F.explode("key").alias("key"), "n"), "key")
 
+    def some(tokens: np.ndarray, nodes: np.ndarray, far: int) -> np.ndarray:
+        if len(nodes) == 1:
+            near = tokens[max(0, nodes[0] - far) : nodes[0] + far + 1]
+        else:
+            inside = np.zeros(len(tokens) + 1, np.int64)
+            np.add.at(inside, np.maximum(0, nodes - far), 1)
+            np.add.at(inside, np.minimum(len(tokens), nodes + far + 1), -1)
+            near = tokens[np.cumsum(inside[:-1]) > 0]
+        return near
+
+    def bits(x: np.ndarray) -> np.ndarray:
+        return np.where(x < 0, 65535, x & (_BITS - 1)).astype(np.uint16)
 
-def pairs_left(shared: DataFrame, classes: DataFrame, sketched: DataFrame, least: int, percent: int) -> DataFrame:
+    def distinct(x: np.ndarray) -> np.ndarray:
+        return (u := np.unique(x))[np.searchsorted(u, 0) :]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for region, owner, windows, line in zip(*(batch.column(c).to_pylist() for c in ("region", "owner", "windows")), batch.column("tokens"), strict=True):
+                tokens, out = np.asarray(line.values), []
+                for w in windows:
+                    nodes = np.flatnonzero(tokens == tokens[w["place"]])
+                    near = some(tokens, nodes, least - 1)
+                    repeats = len(distinct(near)) < (near >= 0).sum()
+                    slice_ = some(tokens, nodes, (20 if repeats else 2) * least)
+                    wide, line = distinct(slice_), bits(near)
+                    both = np.unique(bits(wide))
+                    far = repeats and len(slice_) < len(tokens) and len(wide) < 2 * least
+                    out.append((w["key"], region, owner, w["place"], len(nodes) > 1, far, len(wide) - len(both), line.tobytes(), np.setdiff1d(both, line).tobytes()))
+                yield _record(list(zip(*out, strict=True)), _SKETCHED)
+
+    listed = open_.groupBy("region").agg(F.collect_list(F.struct("key", "place")).alias("windows"))
+    return map_batches(listed.join(found, "region").select("region", "owner", "windows", "tokens"), run, _SKETCHED)
+
+
+def open_pairs(placed: DataFrame, least: int, percent: int, spanning: bool) -> DataFrame:
     """Pairs (region, other) that share a joint window, but for those whose nodes lie in passages of one class.
 
-    Pairs whose sketches show that they have too few tokens in common for a passage are left out: common tokens are at
-    most the common bits and what either side lost in its sketch.
+    A passage that covers the node has a run of ``least`` places around it, most of which hold tokens of the other
+    region's passage. Pairs whose sketches show fewer are left out. ``spanning``: of the pairs of a block those that join
+    its classes and regions of none, if all of them are links.
     """
-    placed = shared.alias("w").join(classes.alias("c"), F.expr("w.region = c.region and w.place >= c.from and w.place < c.to"), "left")
-    placed = placed.select("key", "n", "w.region", "owner", "label")
-    known = placed.groupBy("key").agg(F.count("*").alias("n"), F.count("label").alias("known"), F.min("label").alias("low"), F.max("label").alias("high"))
+    enough = int(-(-dense_share(percent) * least // 100))
     blocks = F.ceil(F.col("n") / _BLOCK)
-    met = placed.join(known.where("not (known = n and low = high)").select("key"), "key").select("key", "region", "owner", "label", blocks.alias("blocks"))
-    met = met.withColumn("own", F.pmod(F.xxhash64("region"), "blocks"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(sketched, "region")
-    tile = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    enough = -(-2 * percent * least // (100 + percent))
+    met = placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("region"), "blocks"))
+    met = met.withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tile = F.xxhash64("key", F.least("own", "met"), F.greatest("own", "met"))
 
     def meet(rows: list[tuple]) -> pa.RecordBatch:
-        region, owner, own, extra = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 4, 6))
+        region, owner, own, lost = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 4, 7))
+        several, from_far = (np.array([r[i] for r in rows], bool) for i in (5, 6))
         known = np.array([r[3] is not None for r in rows])
-        label = np.array([r[3] or 0 for r in rows], np.int64)
-        apart = (owner[:, None] != owner) & (region[:, None] < region) & ~(known[:, None] & known & (label[:, None] == label))
-        if (own != own[0]).any():  # two blocks: each is a tile of its own too
-            apart &= own[:, None] != own
-        set_ = np.zeros((len(rows), _BITS), bool)
+        # regions of no class are groups of their own
+        group = np.unique(np.array([r[3] if r[3] is not None else 0 for r in rows], np.int64), return_inverse=True)[1]
+        group = np.where(known, group, len(rows) + np.arange(len(rows)))
+        near = np.zeros((len(rows), _BITS), bool)
+        wide = np.zeros((len(rows), _BITS + 1), bool)  # the last bit is never set
+        lines = np.full((len(rows), 2 * least - 1), _BITS)
+        extra = np.zeros(len(rows), np.int64)
         for i, r in enumerate(rows):
-            set_[i, np.frombuffer(r[5], np.uint16)] = True
-        packed = np.packbits(set_, axis=1).view(U)
-        del set_
+            line = np.frombuffer(r[8], np.uint16).astype(np.int64)
+            held = line[line < _BITS]
+            near[i, held] = wide[i, held] = True
+            wide[i, np.frombuffer(r[9], np.uint16)] = True
+            extra[i] = len(held) - near[i].sum()
+            if not several[i]:
+                lines[i, : len(line)] = np.minimum(line, _BITS)
+        close, far = (np.packbits(x, axis=1).view(U) for x in (near, wide[:, :_BITS]))
+        del near
+
+        def dense(hits: np.ndarray) -> np.ndarray:
+            total = np.cumsum(hits, axis=1, dtype=np.int16)
+            return np.maximum(total[:, least - 1], (total[:, least:] - total[:, :-least]).max(axis=1)) >= enough
+
+        two = (own != own[0]).any()  # two blocks: each is a tile of its own too
         pairs = [np.zeros((0, 2), np.int64)]
-        for i in np.flatnonzero(apart.any(axis=1)).tolist():
-            j = np.flatnonzero(apart[i])
-            j = j[np.bitwise_count(packed[i] & packed[j]).sum(axis=1, dtype=np.int64) + np.minimum(extra[i], extra[j]) >= enough]
-            pairs.append(np.stack([np.full(len(j), region[i]), region[j]], axis=1))
-        return _longs(list(np.concatenate(pairs).T), ["region", "other"])
-
-    return by_group(met.select(tile.alias("tile"), "region", "owner", "label", "own", "bits", "extra"), "tile", meet, _PAIRS).distinct()
+        for i in range(len(rows)):
+            apart = (owner[:i] != owner[i]) & (region[:i] != region[i]) & (group[:i] != group[i])
+            if two:
+                apart &= own[:i] != own[i]
+            j = np.flatnonzero(apart)
+            if not len(j):
+                continue
+            common = lambda x, y: np.bitwise_count(x & y).sum(axis=1, dtype=np.int64)
+            most = common(close[i], far[j]) + extra[i]
+            j, most = j[most >= enough], most[most >= enough]
+            most = np.minimum(most, common(close[j], far[i]) + extra[j])
+            j, most = j[most >= enough], most[most >= enough]
+            # the passages have as many different tokens in common as a run has places
+            good = from_far[i] | from_far[j] | (common(far[i], far[j]) + np.minimum(lost[i], lost[j]) >= enough)
+            j, most = j[good], most[good]
+            good = several[i] | dense(wide[j][:, lines[i]])
+            good &= several[j] | dense(wide[i][lines[j]])
+            j, most = j[good], most[good]
+            if spanning and len(j):
+                j = j[np.argsort(-most, kind="stable")]
+                joined, first = np.unique(group[j], return_index=True)
+                j = j[first]
+                group[np.isin(group, joined)] = group[i]
+            pairs.append(np.stack([np.minimum(region[i], region[j]), np.maximum(region[i], region[j])], axis=1))
+        return _record(list(np.concatenate(pairs).T), _PAIRS)
+
+    columns = ("region", "owner", "label", "own", "several", "far", "lost", "line", "around")
+    return by_group(met.select(tile.alias("tile"), *columns), "tile", meet, _PAIRS).distinct()
 
 
 def _within(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -415,6 +510,7 @@ def common_passages(s: np.ndarray, t: np.ndarray, least: int, percent: int) -> l
 
 
 _LINKS = "region long, lo int, hi int, other long, lo2 int, hi2 int"
+_LINK = ("region", "lo", "hi", "other", "lo2", "hi2")
 
 
 def verified(pairs: DataFrame, found: DataFrame, least: int, percent: int) -> DataFrame:
@@ -425,22 +521,22 @@ def verified(pairs: DataFrame, found: DataFrame, least: int, percent: int) -> Da
             out = []
             for a, b, x, y in zip(batch.column("region").to_pylist(), batch.column("other").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
                 out += [(a, lo, hi, b, lo2, hi2) for lo, hi, lo2, hi2 in common_passages(np.asarray(x.values), np.asarray(y.values), least, percent)]
-            kinds = (pa.int64(), pa.int32(), pa.int32()) * 2
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["region", "lo", "hi", "other", "lo2", "hi2"])
+            yield _record([[r[i] for r in out] for i in range(6)], _LINKS)
 
     met = pairs.join(found.select("region", F.col("tokens").alias("x")), "region").join(found.select(F.col("region").alias("other"), F.col("tokens").alias("y")), "other")
     return map_batches(met.select("region", "other", "x", "y"), run, _LINKS)
 
 
-_NAMES = ("doc_id", "first_word", "end_word", "other_id", "other_first_word", "other_end_word")
+_NAMES = ("doc_id", "first_word", "end_word", "other_id", "other_first_word", "other_end_word", "whole", "class_id", "class_first_word")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5, percent: int = 75, tmp: Scratch | None = None) -> DataFrame:
-    """doc_id, first_word, end_word, other_id, other_first_word, other_end_word: passages that another document repeats.
+    """Passages that another document repeats, each with its class and one passage of another document that it is linked with.
 
-    Every document that holds a repeated passage has a row for it, next to another document that holds it too. Rows are the
-    links between passages that differ; links inside a class that others connect already may be left out, and of equal
-    passages one has the links, the others a row next to it. The result is read from tables of ``tmp``.
+    doc_id, first_word, end_word; other_id, other_first_word, other_end_word; whole, class_id, class_first_word. Passages
+    are of one class if links join them; the class is named by its passage of smallest doc_id and first word. ``whole``
+    rows are texts with exact copies: these are a class, and the passages inside the text have rows for its first document
+    only. The result is read from tables of ``tmp``.
     """
     tmp = tmp or Scratch(docs.sparkSession)
     least = least_words - shingle + 1
@@ -448,7 +544,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5,
     found = tmp.store(regions(met_again(send_places(named, shingle, count_ranges(named))), least, percent))
     tmp.release()
     texts = found.where("start is null")
-    copies = texts.groupBy("key").agg(F.min("row").alias("row"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    copies = texts.groupBy("key").agg(F.min_by("row", F.struct("doc_id", "row")).alias("row"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     own = tmp.store(found.where("start is not null").join(copies.select("row"), "row", "left_semi").select("row", "doc_id", "start", "tokens"))
     # regions of equal tokens are copies of the first one, which goes on; a region of one document alone is never met with others of it
     marks = (F.xxhash64("tokens").alias("x"), F.hash("tokens").alias("y"))
@@ -458,28 +554,38 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5,
     many = F.col("low.row") < F.col("high.row")
     first = named.select(F.col("low.row").alias("row"), F.col("low.start").alias("start"), "region", F.when(many, -1 - F.col("region")).otherwise(F.col("low.row")).alias("owner"))
     leads = tmp.store(own.join(first, ["row", "start"]).select("region", "owner", "tokens"))
-    windows = tmp.store(region_windows(leads, least))
-    pairs = tmp.store(led_windows(windows))
+    met = tmp.store(led_windows(region_windows(leads, least)))
+    tmp.release()
+    shared = met.where("other is null").drop("other")
+    pairs = tmp.store(met.where("other is not null").select("region", "other").distinct())
     own_pairs = leads.where("owner < 0").select("region", F.col("region").alias("other"))
-    shared, sketched = tmp.store(shared_windows(windows)), tmp.store(sketches(leads))
-    tmp.drop(windows)
-    links = tmp.store(verified(pairs.union(own_pairs), leads, least, percent))
-    classes = passage_classes(links, tmp)
-    left = tmp.store(pairs_left(shared, classes, sketched, least, percent).join(pairs, ["region", "other"], "left_anti"))
-    tmp.drop(shared, sketched, classes, pairs)
-    links = links.union(tmp.store(verified(left, leads, least, percent)))
-    tmp.drop(left, leads)
-    # a first region is next to all it is linked with; its copies, next to one of them or to what they are copies of
-    both = links.union(links.where("region <> other").select("other", "lo2", "hi2", "region", "lo", "hi"))
-    few = both.groupBy("region", "lo", "hi").agg(F.min(F.struct((F.col("region") != F.col("other")).alias("apart"), "other", "lo2", "hi2")).alias("o")).select("region", "lo", "hi", "o.other", "o.lo2", "o.hi2")
-    ids = own.select("row", "start", "doc_id", *marks).join(named, ["x", "y"]).select("region", "row", "start", "doc_id", ((F.col("low.row") == F.col("row")) & (F.col("low.start") == F.col("start"))).alias("leads"))
-    sides = ids.where("leads").join(both, "region").union(ids.where("not leads").join(few, "region"))
-    there = sides.join(named.select(F.col("region").alias("other"), "low", "high"), "other")
-    partner = F.when(F.col("low.row") != F.col("row"), F.col("low")).when(F.col("high.row") != F.col("row"), F.col("high"))
-    there = there.withColumn("p", partner).where("p is not null")
-    span = lambda start, lo, hi: (F.col(start) + F.col(lo), F.col(start) + F.col(hi) + shingle - 1)
-    held = there.select("doc_id", *span("start", "lo", "hi"), "p.doc_id", *span("p.start", "lo2", "hi2")).toDF(*_NAMES)
+    parts = [tmp.store(verified(pairs.union(own_pairs), leads, least, percent))]
+    classes = passage_classes(parts[0], least, tmp)
+    left = tmp.store(labelled(shared, classes).select("key", "region", "place"))
+    tmp.drop(met)
+    tmp.release()
+    sketched = tmp.store(sketches(left, leads, least))
+    tmp.drop(left)
+    # pairs that span classes first: where they are links, the rest of the classes' pairs need no check
+    for spanning in (True, False):
+        more = tmp.store(open_pairs(labelled(sketched, classes), least, percent, spanning).join(pairs, ["region", "other"], "left_anti"))
+        parts.append(tmp.store(verified(more, leads, least, percent)))
+        links = parts[0].union(parts[1]) if spanning else parts[0].union(parts[1]).union(parts[2])
+        tmp.drop(classes)
+        classes = passage_classes(links, least, tmp)
+        pairs = pairs.union(more)
+    tmp.drop(*parts, sketched, leads)
+    members = own.select("row", "start", "doc_id", *marks).join(named, ["x", "y"]).select("region", "row", "start", "doc_id")
+    there = members.join(classes, "region").join(named.select(F.col("region").alias("other"), F.col("low").alias("one"), F.col("high").alias("last")), "other")
+    partner = F.when(F.col("one.row") != F.col("row"), F.col("one")).otherwise(F.col("last"))
+    span = lambda start, lo, hi: ((F.col(start) + F.col(lo)).alias("first_word"), (F.col(start) + F.col(hi) + shingle - 1).alias("end_word"))
+    held = there.withColumn("p", partner).select("label", "doc_id", *span("start", "lo", "hi"), F.struct("p.doc_id", *span("p.start", "lo2", "hi2")).alias("p"))
+    held = tmp.store(held)
+    tmp.drop(own, named, classes)
+    names = held.groupBy("label").agg(F.min(F.struct("doc_id", "first_word")).alias("c"))
+    held = held.join(names, "label").select("doc_id", "first_word", "end_word", "p.*", F.lit(False), "c.*").toDF(*_NAMES)
     whole = texts.select("key", "doc_id", "size").distinct().join(copies.where("low < high"), "key")
     words = (F.col("size") + shingle - 1).cast("int")
-    whole = whole.select("doc_id", F.lit(0), words, F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")), F.lit(0), words).toDF(*_NAMES)
+    other = F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low"))
+    whole = whole.select("doc_id", F.lit(0), words, other, F.lit(0), words, F.lit(True), "low", F.lit(0)).toDF(*_NAMES)
     return held.union(whole).distinct()

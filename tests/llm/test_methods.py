@@ -399,6 +399,29 @@ def test_passages_are_found_beside_unlike_ones_that_share_their_windows(spark):
     assert len(truth) == len(docs) and len(found) >= 0.99 * len(docs)
 
 
+def test_a_family_of_near_copies_is_one_class_without_its_pairs(spark, monkeypatch):
+    """Near copies of a passage, followed by text that each shares with some others but that is no passage of any two."""
+    rng, made = random.Random(9), iter(range(10**9))
+    fresh = lambda n: [f"w{next(made)}" for _ in range(n)]
+    core, blocks, docs = fresh(60), [[fresh(16) for _ in range(6)] for _ in range(5)], []
+    for _ in range(120):
+        near = core.copy()
+        near[rng.randrange(60)] = fresh(1)[0]
+        docs.append(near + [w for b in blocks for w in rng.choice(b)])
+    tried, verified = [], passages.verified
+
+    def counted(pairs, *more):
+        tried.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(passages, "verified", counted)
+    rows = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(5)).collect()
+    held = [r for r in rows if r.first_word < 30]
+    assert {r.doc_id for r in held} == set(range(120)) and len(held) == 120 and len({(r.class_id, r.class_first_word) for r in held}) == 1
+    print("rows", len(rows), "pairs", tried)
+    assert len(rows) <= 2 * len(docs) and sum(tried) <= 8 * len(docs)
+
+
 def test_exact_passages_are_found_beside_other_repeated_text(spark):
     made = iter(range(10**9))
     fresh = lambda n: [f"w{next(made)}" for _ in range(n)]
