@@ -133,13 +133,15 @@ def dense_runs(flags: np.ndarray, least: int, share: float, trim: bool = True) -
     """Maximal [start, end) made of runs of ``least`` places of which ``share`` percent are set, cut to set ends if ``trim``."""
     if len(flags) < least:
         return []
-    total = np.concatenate(([0], np.cumsum(flags)))
-    good = np.flatnonzero(100 * (total[least:] - total[:-least]) >= share * least)
+    total = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=total[1:])
+    if 100 * total[-1] < share * least:
+        return []
+    good = np.flatnonzero(total[least:] - total[:-least] >= -(-share * least // 100))
     if not len(good):
         return []
-    breaks = np.flatnonzero(np.diff(good) > least)
-    out = []
-    for a, b in zip(np.concatenate(([0], breaks + 1)), np.concatenate((breaks, [len(good) - 1])), strict=True):
+    breaks, out = np.flatnonzero(good[1:] - good[:-1] > least).tolist(), []
+    for a, b in zip([0, *(i + 1 for i in breaks)], [*breaks, len(good) - 1], strict=True):
         lo, hi = int(good[a]), int(good[b]) + least
         if trim:
             inside = np.flatnonzero(flags[lo:hi])
@@ -230,33 +232,29 @@ def joint_windows(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarra
     Keys are distinct and ascend. The place is the first one's node. The third is the least value of another hash function near the first one's node.
     """
     lone = tokens < 0
-    hashes, windows = [], []
-    for k in range(HASHES):
-        h = mix(tokens.view(U) ^ _SEEDS[k])
-        h[lone] = ~U(0)
-        hashes.append(h)
-        found = np.array([w for w in compact_windows(h, least) if not lone[w[0]]], np.int64).reshape(-1, 4)
-        windows.append(found)
+    hashes = mix(tokens.view(U) ^ _SEEDS[:, None])
+    hashes[:, lone] = ~U(0)
+    windows = [np.array([w for w in compact_windows(h, least) if not lone[w[0]]], np.int64).reshape(-1, 4) for h in hashes]
     # least values of runs, by doubling: of 2 * half places ahead, cut short at the end
     half = 1 << (least.bit_length() - 2)
-    around = np.array(hashes)
+    around = hashes.copy()
     for width in (1 << i for i in range(half.bit_length())):
         around[:, :-width] = np.minimum(around[:, :-width], around[:, width:])
-    keys, thirds, places = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    met = [np.zeros((3, 0), np.int64)]
     for k in range(HASHES):
         other = (k + 1) % HASHES
         if len(windows[k]) and len(windows[other]):
             i, j, _, _ = overlapping(windows[k], windows[other], least)
-            x, y = windows[k][i, 0], windows[other][j, 0]
-            keys.append(mix(mix(hashes[k][x] ^ U(k + 1)) + hashes[other][y]))
-            thirds.append(around[(k + 3) % HASHES][np.maximum(0, x - half)])
-            places.append(x)
-    made, first = np.unique(np.concatenate(keys).view(np.int64), return_index=True)
-    return made, np.concatenate(thirds).view(np.int64)[first], np.concatenate(places)[first]
+            met.append(np.stack((np.full(len(i), k), windows[k][i, 0], windows[other][j, 0])))
+    k, x, y = np.concatenate(met, axis=1)
+    keys = mix(mix(hashes[k, x] ^ (k + 1).view(U)) + hashes[(k + 1) % HASHES, y])
+    made, first = np.unique(keys.view(np.int64), return_index=True)
+    k, x = k[first], x[first]
+    return made, around[(k + 3) % HASHES, np.maximum(0, x - half)].view(np.int64), x
 
 
 _WINDOWS = "key long, third long, region long, owner long, place int"
-_MET = "key long, region long, owner long, place int, other long"
+_MET = "key long, region long, owner long, place int, n long, other long"
 _PAIRS = "region long, other long"
 
 
@@ -282,9 +280,9 @@ def region_windows(found: DataFrame, least: int) -> DataFrame:
 
 
 def led_windows(windows: DataFrame) -> DataFrame:
-    """The windows that regions of two owners or more share, and, in rows without a key, the first pairs (region, other) to verify.
+    """The first pairs (region, other) to verify, in rows without a key, and the windows that three regions or more share.
 
-    Regions of one key stand in order of their third min-hash: each is paired with the first one of that, or, if it is
+    ``n`` is the number of a key's windows; all but those of one owner count. Regions of one key stand in order of their third min-hash: each is paired with the first one of that, or, if it is
     this one itself, with the first of all. ``open_pairs`` makes the others.
     """
 
@@ -295,7 +293,8 @@ def led_windows(windows: DataFrame) -> DataFrame:
         fresh[1:] = key[1:] != key[:-1]
         begins = np.flatnonzero(fresh)
         apart = np.minimum.reduceat(owner, begins) < np.maximum.reduceat(owner, begins)
-        kept = apart[np.cumsum(fresh) - 1]
+        of_key = np.cumsum(fresh) - 1
+        kept, n = apart[of_key], np.diff(begins, append=len(key))[of_key]
         alike = ~fresh
         alike[1:] &= third[1:] == third[:-1]
         first, head = (np.maximum.accumulate(np.where(m, at, 0)) for m in (fresh, ~alike))
@@ -303,10 +302,11 @@ def led_windows(windows: DataFrame) -> DataFrame:
         i = np.flatnonzero(kept & (owner != owner[lead]))
         pairs = np.unique(np.sort(np.stack([region[i], region[lead[i]]], axis=1), axis=1), axis=0)
         none = lambda n: pa.nulls(n, pa.int64())
-        shared = [c[kept] for c in (key, region, owner, place.astype(np.int32))]
+        kept &= n > 2  # the one pair of two regions is among the first
+        shared = [c[kept] for c in (key, region, owner, place.astype(np.int32), n)]
         return [
             _record([*shared, none(int(kept.sum()))], _MET),
-            _record([none(len(pairs)), pairs[:, 0], none(len(pairs)), pa.nulls(len(pairs), pa.int32()), pairs[:, 1]], _MET),
+            _record([none(len(pairs)), pairs[:, 0], none(len(pairs)), pa.nulls(len(pairs), pa.int32()), none(len(pairs)), pairs[:, 1]], _MET),
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,27 +353,41 @@ def passage_classes(links: DataFrame, least: int, tmp: Scratch) -> DataFrame:
 _BLOCK, _BITS = 512, 1 << 14
 
 
+def in_classes(df: DataFrame, classes: DataFrame, region: str = "region", place: str = "place", label: str = "label") -> DataFrame:
+    """``df`` with the class of the stretch that a place lies in."""
+    spans = classes.groupBy(F.col("region").alias(region)).agg(F.collect_list(F.struct("lo", "hi", "label")).alias("spans"))
+    found = F.expr(f"array_min(transform(filter(spans, s -> {place} >= s.lo and {place} < s.hi), s -> s.label))")
+    return df.join(spans, region, "left").withColumn(label, found).drop("spans")
+
+
 def labelled(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """``shared`` with the class of the stretch that a window's first node lies in, in keys whose nodes are not all of one class."""
-    spans = classes.groupBy("region").agg(F.collect_list(F.struct("lo", "hi", "label")).alias("spans"))
-    label = F.expr("array_min(transform(filter(spans, s -> place >= s.lo and place < s.hi), s -> s.label))")
     of_key = Window.partitionBy("key")
-    placed = shared.join(spans, "region", "left").withColumn("label", label).drop("spans")
-    placed = placed.withColumn("n", F.count("*").over(of_key)).withColumn("known", F.count("label").over(of_key))
+    placed = in_classes(shared, classes).withColumn("known", F.count("label").over(of_key))
     placed = placed.withColumn("low", F.min("label").over(of_key)).withColumn("high", F.max("label").over(of_key))
     return placed.where("not (known = n and low = high)").drop("known", "low", "high")
 
 
-_SKETCHED = "key long, region long, owner long, place int, several boolean, far boolean, lost int, line binary, around binary"
+_SKETCHED = "key long, region long, owner long, place int, label long, n long, several boolean, far boolean, lost int, doubled int, line binary, around binary"
+
+
+def _distinct(tokens: np.ndarray) -> np.ndarray:
+    """The tokens in order, each once, without -1."""
+    x = np.sort(tokens)
+    fresh = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=fresh[1:])
+    fresh[: np.searchsorted(x, 0)] = False
+    return x[fresh]
 
 
 def sketches(open_: DataFrame, found: DataFrame, least: int) -> DataFrame:
     """The windows with sketches of the tokens around their first node, as 16-bit places of bits.
 
-    ``line``: of each place less than ``least`` places away, in order, 65,535 where a token is met in no other document.
-    ``around``: the further bits of places up to twice as far, or of 20 times as far where tokens repeat nearby. If the
-    node's token has ``several`` places, those near any. ``lost``: by how many the bits are fewer than the tokens.
-    ``far``: nearly all that is around repeats, so a passage may get its tokens from further away.
+    ``line``: of each place less than ``least`` places away, in order, 65,535 where a token is met in no other document;
+    its tokens are by ``doubled`` more than its bits. ``around``: the further bits of places up to twice as far, or of 20
+    times as far where tokens repeat nearby. If the node's token has ``several`` places, those near any. ``lost``: by how
+    many the bits are fewer than the tokens. ``far``: nearly all that is around repeats, so a passage may get its tokens
+    from further away. Windows of one place share a sketch.
     """
 
     def some(tokens: np.ndarray, nodes: np.ndarray, far: int) -> np.ndarray:
@@ -386,100 +400,140 @@ def sketches(open_: DataFrame, found: DataFrame, least: int) -> DataFrame:
             near = tokens[np.cumsum(inside[:-1]) > 0]
         return near
 
-    def bits(x: np.ndarray) -> np.ndarray:
-        return np.where(x < 0, 65535, x & (_BITS - 1)).astype(np.uint16)
-
-    def distinct(x: np.ndarray) -> np.ndarray:
-        return (u := np.unique(x))[np.searchsorted(u, 0) :]
+    def sketch(tokens: np.ndarray, place: int, set_: np.ndarray) -> tuple:
+        nodes = np.flatnonzero(tokens == tokens[place])
+        near = some(tokens, nodes, least - 1)
+        held = near[near >= 0]
+        repeats = len(_distinct(held)) < len(held)
+        slice_ = some(tokens, nodes, (20 if repeats else 2) * least)
+        wide = _distinct(slice_)
+        both, own = _distinct(wide & (_BITS - 1)), held & (_BITS - 1)
+        set_[own] = True
+        around = both[~set_[both]]
+        set_[own] = False
+        line = np.where(near < 0, 65535, near & (_BITS - 1)).astype(np.uint16)
+        far = repeats and len(slice_) < len(tokens) and len(wide) < 2 * least
+        doubled = len(held) - (len(both) - len(around))
+        return len(nodes) > 1, far, len(wide) - len(both), doubled, line.tobytes(), around.astype(np.uint16).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        set_, names = np.zeros(_BITS, bool), ("key", "place", "label", "n")
         for batch in batches:
-            for region, owner, windows, line in zip(*(batch.column(c).to_pylist() for c in ("region", "owner", "windows")), batch.column("tokens"), strict=True):
-                tokens, out = np.asarray(line.values), []
-                for w in windows:
-                    nodes = np.flatnonzero(tokens == tokens[w["place"]])
-                    near = some(tokens, nodes, least - 1)
-                    repeats = len(distinct(near)) < (near >= 0).sum()
-                    slice_ = some(tokens, nodes, (20 if repeats else 2) * least)
-                    wide, line = distinct(slice_), bits(near)
-                    both = np.unique(bits(wide))
-                    far = repeats and len(slice_) < len(tokens) and len(wide) < 2 * least
-                    out.append((w["key"], region, owner, w["place"], len(nodes) > 1, far, len(wide) - len(both), line.tobytes(), np.setdiff1d(both, line).tobytes()))
+            out: list[tuple] = []
+            for region, owner, windows, line in zip(*(batch.column(c).to_pylist() for c in ("region", "owner")), batch.column("windows"), batch.column("tokens"), strict=True):
+                tokens, made = np.asarray(line.values), {}
+                for key, place, label, n in zip(*(windows.values.field(c).to_pylist() for c in names), strict=True):
+                    if place not in made:
+                        made[place] = sketch(tokens, place, set_)
+                    out.append((key, region, owner, place, label, n, *made[place]))
+                    if len(out) == 5_000:
+                        yield _record(list(zip(*out, strict=True)), _SKETCHED)
+                        out = []
+            if out:
                 yield _record(list(zip(*out, strict=True)), _SKETCHED)
 
-    listed = open_.groupBy("region").agg(F.collect_list(F.struct("key", "place")).alias("windows"))
+    listed = open_.groupBy("region").agg(F.collect_list(F.struct("key", "place", "label", "n")).alias("windows"))
     return map_batches(listed.join(found, "region").select("region", "owner", "windows", "tokens"), run, _SKETCHED)
 
 
+_OPEN = "region long, place int, other long, other_place int, spanning boolean, key long"
+
+
 def open_pairs(placed: DataFrame, least: int, percent: int, spanning: bool) -> DataFrame:
-    """Pairs (region, other) that share a joint window, but for those whose nodes lie in passages of one class.
+    """Pairs (region, other) that share a joint window, but for those whose nodes lie in passages of one class, with their places.
 
     A passage that covers the node has a run of ``least`` places around it, most of which hold tokens of the other
-    region's passage. Pairs whose sketches show fewer are left out. ``spanning``: of the pairs of a block those that join
-    its classes and regions of none, if all of them are links.
+    region's passage. Pairs whose sketches show fewer are left out. ``spanning``: those of a block's pairs that join its
+    classes and regions of none, if all of them are links, are marked so; where the others are very many or lie between
+    two blocks, a row with nothing but the key stands for them.
     """
     enough = int(-(-dense_share(percent) * least // 100))
     blocks = F.ceil(F.col("n") / _BLOCK)
     met = placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("region"), "blocks"))
     met = met.withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tile = F.xxhash64("key", F.least("own", "met"), F.greatest("own", "met"))
+    columns = ("region", "owner", "label", "own", "several", "far", "lost", "doubled", "line", "around", "place", "key")
 
     def meet(rows: list[tuple]) -> pa.RecordBatch:
-        region, owner, own, lost = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 4, 7))
-        several, from_far = (np.array([r[i] for r in rows], bool) for i in (5, 6))
-        known = np.array([r[3] is not None for r in rows])
+        _, region, owner, label, own, several, far, lost, doubled, line, around, place, key = zip(*rows, strict=True)
+        region, owner, own, lost, doubled, place = (np.array(c, np.int64) for c in (region, owner, own, lost, doubled, place))
+        several, far = np.array(several), np.array(far)
         # regions of no class are groups of their own
-        group = np.unique(np.array([r[3] if r[3] is not None else 0 for r in rows], np.int64), return_inverse=True)[1]
+        known = np.array([x is not None for x in label])
+        group = np.unique(np.array([x or 0 for x in label], np.int64), return_inverse=True)[1]
         group = np.where(known, group, len(rows) + np.arange(len(rows)))
-        near = np.zeros((len(rows), _BITS), bool)
-        wide = np.zeros((len(rows), _BITS + 1), bool)  # the last bit is never set
-        lines = np.full((len(rows), 2 * least - 1), _BITS)
-        extra = np.zeros(len(rows), np.int64)
-        for i, r in enumerate(rows):
-            line = np.frombuffer(r[8], np.uint16).astype(np.int64)
-            held = line[line < _BITS]
-            near[i, held] = wide[i, held] = True
-            wide[i, np.frombuffer(r[9], np.uint16)] = True
-            extra[i] = len(held) - near[i].sum()
-            if not several[i]:
-                lines[i, : len(line)] = np.minimum(line, _BITS)
-        close, far = (np.packbits(x, axis=1).view(U) for x in (near, wide[:, :_BITS]))
-        del near
-
-        def dense(hits: np.ndarray) -> np.ndarray:
-            total = np.cumsum(hits, axis=1, dtype=np.int16)
-            return np.maximum(total[:, least - 1], (total[:, least:] - total[:, :-least]).max(axis=1)) >= enough
+        # bits of two rows or more are columns; the last column stays empty
+        n_line, n_around = (np.array([len(x) // 2 for x in c]) for c in (line, around))
+        of_line, of_around = (np.frombuffer(b"".join(c), np.uint16) for c in (line, around))
+        held = of_line < _BITS
+        bits = np.flatnonzero(np.bincount(of_line[held], minlength=_BITS) + np.bincount(of_around, minlength=_BITS) > 1)
+        column = np.full(1 << 16, len(bits), np.int32)
+        column[bits] = np.arange(len(bits))
+        row = np.repeat(np.arange(len(rows)), n_line)
+        near = np.zeros((len(rows), len(bits) + 1), bool)
+        near[row, column[of_line]] = True
+        wide = near.copy()
+        wide[np.repeat(np.arange(len(rows)), n_around), column[of_around]] = True
+        near[:, -1] = wide[:, -1] = False
+        lines = np.full((len(rows), 2 * least - 1), len(bits), np.int32)
+        single = ~several[row]
+        lines[row[single], (np.arange(len(row)) - np.repeat(np.cumsum(n_line) - n_line, n_line))[single]] = column[of_line[single]]
+
+        def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(x), len(y)), np.float32)
+            for at in range(0, len(bits), 2048):
+                out += x[:, at : at + 2048].astype(np.float32) @ y[:, at : at + 2048].astype(np.float32).T
+            return out
+
+        def dense(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+            """Whether the node lies in a run of which enough is among the other's tokens."""
+            good = several[one]
+            at = np.flatnonzero(~good)
+            for some in np.array_split(at, -(-len(at) // 4096)) if len(at) else ():
+                total = np.cumsum(wide[other[some, None], lines[one[some]]], axis=1, dtype=np.int16)
+                good[some] = np.maximum(total[:, least - 1], (total[:, least:] - total[:, :-least]).max(axis=1)) >= enough
+            return good
 
         two = (own != own[0]).any()  # two blocks: each is a tile of its own too
-        pairs = [np.zeros((0, 2), np.int64)]
-        for i in range(len(rows)):
-            apart = (owner[:i] != owner[i]) & (region[:i] != region[i]) & (group[:i] != group[i])
-            if two:
-                apart &= own[:i] != own[i]
-            j = np.flatnonzero(apart)
-            if not len(j):
-                continue
-            common = lambda x, y: np.bitwise_count(x & y).sum(axis=1, dtype=np.int64)
-            most = common(close[i], far[j]) + extra[i]
-            j, most = j[most >= enough], most[most >= enough]
-            most = np.minimum(most, common(close[j], far[i]) + extra[j])
-            j, most = j[most >= enough], most[most >= enough]
-            # the passages have as many different tokens in common as a run has places
-            good = from_far[i] | from_far[j] | (common(far[i], far[j]) + np.minimum(lost[i], lost[j]) >= enough)
-            j, most = j[good], most[good]
-            good = several[i] | dense(wide[j][:, lines[i]])
-            good &= several[j] | dense(wide[i][lines[j]])
-            j, most = j[good], most[good]
-            if spanning and len(j):
-                j = j[np.argsort(-most, kind="stable")]
-                joined, first = np.unique(group[j], return_index=True)
-                j = j[first]
-                group[np.isin(group, joined)] = group[i]
-            pairs.append(np.stack([np.minimum(region[i], region[j]), np.maximum(region[i], region[j])], axis=1))
-        return _record(list(np.concatenate(pairs).T), _PAIRS)
-
-    columns = ("region", "owner", "label", "own", "several", "far", "lost", "line", "around")
-    return by_group(met.select(tile.alias("tile"), *columns), "tile", meet, _PAIRS).distinct()
+        a, b = (np.flatnonzero(own == own[0]), np.flatnonzero(own != own[0])) if two else (np.arange(len(rows)),) * 2
+        apart = (owner[a, None] != owner[b]) & (region[a, None] != region[b]) & (group[a, None] != group[b])
+        if not two:
+            apart = np.tril(apart)
+        there = common(near[a], wide[b])
+        back = common(near[b], wide[a]).T if two else there.T
+        most = np.minimum(there + doubled[a, None], back + doubled[b])
+        # the passages have as many different tokens in common as a run has places
+        i, j = np.nonzero(apart & (most >= enough))
+        if len(i):
+            all_ = (common(wide[a], wide[b]) + np.minimum(lost[a, None], lost[b]))[i, j]
+            good = far[a[i]] | far[b[j]] | (all_ >= enough)
+            i, j = i[good], j[good]
+        most, i, j = most[i, j], a[i], b[j]
+        for x, y in ((0, 1), (1, 0)):
+            good = dense((i, j)[x], (i, j)[y])
+            most, i, j = most[good], i[good], j[good]
+        chosen = np.zeros(len(i), bool)
+        if spanning:
+            # the best pair of each group that a row meets, row by row
+            late, early = np.maximum(i, j), np.minimum(i, j)
+            order = np.lexsort((-most, late))
+            cuts = np.flatnonzero(np.diff(late[order], prepend=-1, append=len(rows)))
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                some = order[lo:hi]
+                me = late[some[0]]
+                some = some[group[early[some]] != group[me]]
+                joined, first = np.unique(group[early[some]], return_index=True)
+                chosen[some[first]] = True
+                group[np.isin(group, joined)] = group[me]
+        listed = chosen if spanning and (two or len(i) > 64 * len(rows)) else np.ones(len(i), bool)
+        i, j, first = i[listed], j[listed], chosen[listed]
+        i, j = np.where(region[i] < region[j], (i, j), (j, i))
+        out = [region[i], place[i], region[j], place[j], first, np.full(len(i), key[0])]
+        if not listed.all():
+            out = [pa.array([*c.tolist(), x]) for c, x in zip(out, (None, None, None, None, None, key[0]), strict=True)]
+        return _record(out, _OPEN)
+
+    return by_group(met.select(tile.alias("tile"), *columns), "tile", meet, _OPEN)
 
 
 def _within(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -492,19 +546,19 @@ def _within(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
 def common_passages(s: np.ndarray, t: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
     """(start, end, start, end) of stretches of two token lines that are long and alike enough."""
     share, out = dense_share(percent), []
-    distinct = lambda x: (u := np.unique(x))[np.searchsorted(u, 0) :]
-    for lo, hi in dense_runs(_within(s, distinct(t)), least, share, trim=False):
+    for lo, hi in dense_runs(_within(s, _distinct(t)), least, share, trim=False):
         x = s[lo:hi]
-        for lo2, hi2 in dense_runs(_within(t, distinct(x)), least, share, trim=False):
+        for lo2, hi2 in dense_runs(_within(t, _distinct(x)), least, share, trim=False):
             # where one goes on with what the other holds elsewhere, what the two have in common is cut out
-            y = distinct(t[lo2:hi2])
+            y = _distinct(t[lo2:hi2])
             for a, b in dense_runs(_within(x, y), least, share):
-                own = np.unique(x[a:b])
-                there = np.flatnonzero(_within(t[lo2:hi2], own[np.searchsorted(own, 0) :]))
+                own = _distinct(x[a:b])
+                there = np.flatnonzero(_within(t[lo2:hi2], own))
                 a2, b2 = lo2 + int(there[0]), lo2 + int(there[-1]) + 1
-                common, size = int(_within(own, y).sum()), len(np.unique(t[a2:b2]))
+                lone = [bool((z < 0).any()) for z in (x[a:b], t[a2:b2])]  # tokens of no other document count as one
+                common, own_size, size = int(_within(own, y).sum()), len(own) + lone[0], len(_distinct(t[a2:b2])) + lone[1]
                 # a stretch that ends within a passage of least length counts as that passage
-                if (100 + percent) * common >= percent * (max(len(own), least) + max(size, least)):
+                if (100 + percent) * common >= percent * (max(own_size, least) + max(size, least)):
                     out.append((lo + a, lo + b, a2, b2))
     return out
 
@@ -561,19 +615,26 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5,
     own_pairs = leads.where("owner < 0").select("region", F.col("region").alias("other"))
     parts = [tmp.store(verified(pairs.union(own_pairs), leads, least, percent))]
     classes = passage_classes(parts[0], least, tmp)
-    left = tmp.store(labelled(shared, classes).select("key", "region", "place"))
+    left = tmp.store(labelled(shared, classes).select("key", "region", "place", "label", "n"))
     tmp.drop(met)
     tmp.release()
     sketched = tmp.store(sketches(left, leads, least))
     tmp.drop(left)
+    met = tmp.store(open_pairs(sketched, least, percent, True))
+    untried = lambda some: some.select("region", "other").distinct().join(pairs, ["region", "other"], "left_anti")
     # pairs that span classes first: where they are links, the rest of the classes' pairs need no check
-    for spanning in (True, False):
-        more = tmp.store(open_pairs(labelled(sketched, classes), least, percent, spanning).join(pairs, ["region", "other"], "left_anti"))
-        parts.append(tmp.store(verified(more, leads, least, percent)))
-        links = parts[0].union(parts[1]) if spanning else parts[0].union(parts[1]).union(parts[2])
-        tmp.drop(classes)
-        classes = passage_classes(links, least, tmp)
-        pairs = pairs.union(more)
+    more = tmp.store(untried(met.where("spanning")))
+    parts.append(tmp.store(verified(more, leads, least, percent)))
+    tmp.drop(classes)
+    classes = passage_classes(parts[0].union(parts[1]), least, tmp)
+    pairs = pairs.union(more)
+    rest = in_classes(in_classes(met.where("not spanning"), classes), classes, "other", "other_place", "other_label")
+    rest = rest.where("label is null or other_label is null or label <> other_label").select("region", "other")
+    marked = sketched.drop("label").join(met.where("region is null").select("key").distinct(), "key", "left_semi")
+    more = tmp.store(untried(rest.union(open_pairs(labelled(marked, classes), least, percent, False).select("region", "other"))))
+    parts.append(tmp.store(verified(more, leads, least, percent)))
+    tmp.drop(classes, met)
+    classes = passage_classes(parts[0].union(parts[1]).union(parts[2]), least, tmp)
     tmp.drop(*parts, sketched, leads)
     members = own.select("row", "start", "doc_id", *marks).join(named, ["x", "y"]).select("region", "row", "start", "doc_id")
     there = members.join(classes, "region").join(named.select(F.col("region").alias("other"), F.col("low").alias("one"), F.col("high").alias("last")), "other")
