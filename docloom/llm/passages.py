@@ -20,7 +20,7 @@ or more; two are near duplicates if the sets of their tokens have a likeness of
 5. Every other pair of candidates is tried unless the nodes of both windows lie in passages of one class already, on
    sketches of the tokens around the nodes: each must lie in a run that is mostly tokens of the other's surroundings.
    Large groups are met in pairs of blocks. Pairs that would join classes or regions of none are verified first, then,
-   under the classes that result, every pair left.
+   under the classes that result, every pair left of the groups that have more. No pair is tried twice.
 
 With 6 hash functions in a ring, two passages of likeness 0.75 agree under two neighbours with probability 0.962 at any
 one place (0.981 at 0.80); longer passages have several places. README has the recall that was measured.
@@ -255,11 +255,10 @@ def joint_windows(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarra
 
 _WINDOWS = "key long, third long, region long, owner long, place int"
 _MET = "key long, region long, owner long, place int, n long, other long"
-_PAIRS = "region long, other long"
 
 
 def _record(columns: list, schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
     fields = [f.split(" ") for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
 
@@ -353,22 +352,29 @@ def passage_classes(links: DataFrame, least: int, tmp: Scratch) -> DataFrame:
 _BLOCK, _BITS = 512, 1 << 14
 
 
-def in_classes(df: DataFrame, classes: DataFrame, region: str = "region", place: str = "place", label: str = "label") -> DataFrame:
-    """``df`` with the class of the stretch that a place lies in."""
-    spans = classes.groupBy(F.col("region").alias(region)).agg(F.collect_list(F.struct("lo", "hi", "label")).alias("spans"))
-    found = F.expr(f"array_min(transform(filter(spans, s -> {place} >= s.lo and {place} < s.hi), s -> s.label))")
-    return df.join(spans, region, "left").withColumn(label, found).drop("spans")
-
-
 def labelled(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """``shared`` with the class of the stretch that a window's first node lies in, in keys whose nodes are not all of one class."""
+    spans = classes.groupBy("region").agg(F.collect_list(F.struct("lo", "hi", "label")).alias("spans"))
+    label = F.expr("array_min(transform(filter(spans, s -> place >= s.lo and place < s.hi), s -> s.label))")
     of_key = Window.partitionBy("key")
-    placed = in_classes(shared, classes).withColumn("known", F.count("label").over(of_key))
+    placed = shared.join(spans, "region", "left").withColumn("label", label).drop("spans").withColumn("known", F.count("label").over(of_key))
     placed = placed.withColumn("low", F.min("label").over(of_key)).withColumn("high", F.max("label").over(of_key))
     return placed.where("not (known = n and low = high)").drop("known", "low", "high")
 
 
-_SKETCHED = "key long, region long, owner long, place int, label long, n long, several boolean, far boolean, lost int, doubled int, line binary, around binary"
+def partners(pairs: DataFrame) -> DataFrame:
+    """``tried``: of each region the others it was verified with; a pair is listed once, where fewer are."""
+    degree = pairs.select("region").union(pairs.select("other")).groupBy("region").agg(F.count("*").alias("d"))
+    met = pairs.join(degree, "region").join(degree.select(F.col("region").alias("other"), F.col("d").alias("e")), "other")
+    here = F.col("d") <= F.col("e")
+    sided = met.select(F.when(here, F.col("region")).otherwise(F.col("other")).alias("region"), F.when(here, F.col("other")).otherwise(F.col("region")).alias("o"))
+    return sided.groupBy("region").agg(F.collect_list("o").alias("tried"))
+
+
+_SKETCHED = (
+    "key long, region long, owner long, place int, label long, n long, tried array<long>, "
+    "several boolean, far boolean, lost int, doubled int, line binary, around binary"
+)
 
 
 def _distinct(tokens: np.ndarray) -> np.ndarray:
@@ -380,7 +386,7 @@ def _distinct(tokens: np.ndarray) -> np.ndarray:
     return x[fresh]
 
 
-def sketches(open_: DataFrame, found: DataFrame, least: int) -> DataFrame:
+def sketches(open_: DataFrame, found: DataFrame, tried: DataFrame, least: int) -> DataFrame:
     """The windows with sketches of the tokens around their first node, as 16-bit places of bits.
 
     ``line``: of each place less than ``least`` places away, in order, 65,535 where a token is met in no other document;
@@ -420,12 +426,12 @@ def sketches(open_: DataFrame, found: DataFrame, least: int) -> DataFrame:
         set_, names = np.zeros(_BITS, bool), ("key", "place", "label", "n")
         for batch in batches:
             out: list[tuple] = []
-            for region, owner, windows, line in zip(*(batch.column(c).to_pylist() for c in ("region", "owner")), batch.column("windows"), batch.column("tokens"), strict=True):
+            for region, owner, tried, windows, line in zip(*(batch.column(c).to_pylist() for c in ("region", "owner", "tried")), batch.column("windows"), batch.column("tokens"), strict=True):
                 tokens, made = np.asarray(line.values), {}
                 for key, place, label, n in zip(*(windows.values.field(c).to_pylist() for c in names), strict=True):
                     if place not in made:
                         made[place] = sketch(tokens, place, set_)
-                    out.append((key, region, owner, place, label, n, *made[place]))
+                    out.append((key, region, owner, place, label, n, tried, *made[place]))
                     if len(out) == 5_000:
                         yield _record(list(zip(*out, strict=True)), _SKETCHED)
                         out = []
@@ -433,35 +439,49 @@ def sketches(open_: DataFrame, found: DataFrame, least: int) -> DataFrame:
                 yield _record(list(zip(*out, strict=True)), _SKETCHED)
 
     listed = open_.groupBy("region").agg(F.collect_list(F.struct("key", "place", "label", "n")).alias("windows"))
-    return map_batches(listed.join(found, "region").select("region", "owner", "windows", "tokens"), run, _SKETCHED)
+    with_tokens = listed.join(found, "region").join(tried, "region", "left")
+    return map_batches(with_tokens.select("region", "owner", "tried", "windows", "tokens"), run, _SKETCHED)
 
 
-_OPEN = "region long, place int, other long, other_place int, spanning boolean, key long"
+_OPEN = "region long, other long, key long"
 
 
 def open_pairs(placed: DataFrame, least: int, percent: int, spanning: bool) -> DataFrame:
-    """Pairs (region, other) that share a joint window, but for those whose nodes lie in passages of one class, with their places.
+    """Pairs (region, other) that share a joint window, but for those tried and those whose nodes lie in passages of one class.
 
     A passage that covers the node has a run of ``least`` places around it, most of which hold tokens of the other
-    region's passage. Pairs whose sketches show fewer are left out. ``spanning``: those of a block's pairs that join its
-    classes and regions of none, if all of them are links, are marked so; where the others are very many or lie between
-    two blocks, a row with nothing but the key stands for them.
+    region's passage. Pairs whose sketches show fewer are left out. ``spanning``: of the pairs of a block those that join
+    its classes and regions of none, if all of them are links; a row with nothing but the key stands for the others.
     """
     enough = int(-(-dense_share(percent) * least // 100))
     blocks = F.ceil(F.col("n") / _BLOCK)
     met = placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("region"), "blocks"))
     met = met.withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tile = F.xxhash64("key", F.least("own", "met"), F.greatest("own", "met"))
-    columns = ("region", "owner", "label", "own", "several", "far", "lost", "doubled", "line", "around", "place", "key")
+    columns = ("region", "owner", "label", "own", "several", "far", "lost", "doubled", "line", "around", "tried", "key")
 
     def meet(rows: list[tuple]) -> pa.RecordBatch:
-        _, region, owner, label, own, several, far, lost, doubled, line, around, place, key = zip(*rows, strict=True)
-        region, owner, own, lost, doubled, place = (np.array(c, np.int64) for c in (region, owner, own, lost, doubled, place))
+        _, region, owner, label, own, several, far, lost, doubled, line, around, tried, key = zip(*rows, strict=True)
+        region, owner, own, lost, doubled = (np.array(c, np.int64) for c in (region, owner, own, lost, doubled))
         several, far = np.array(several), np.array(far)
         # regions of no class are groups of their own
         known = np.array([x is not None for x in label])
         group = np.unique(np.array([x or 0 for x in label], np.int64), return_inverse=True)[1]
         group = np.where(known, group, len(rows) + np.arange(len(rows)))
+        two = (own != own[0]).any()  # two blocks: each is a tile of its own too
+        a, b = (np.flatnonzero(own == own[0]), np.flatnonzero(own != own[0])) if two else (np.arange(len(rows)),) * 2
+        apart = (owner[a, None] != owner[b]) & (region[a, None] != region[b]) & (group[a, None] != group[b])
+        if not two:
+            apart = np.tril(apart)
+        others = np.array([x for t in tried for x in t or ()], np.int64)
+        order = np.argsort(region)
+        at = order[np.minimum(np.searchsorted(region, others, sorter=order), len(rows) - 1)]
+        held = region[at] == others
+        done = np.zeros((len(rows), len(rows)), bool)
+        done[np.repeat(np.arange(len(rows)), [len(t or ()) for t in tried])[held], at[held]] = True
+        apart &= ~(done | done.T)[a[:, None], b]
+        if not apart.any():
+            return _record([[], [], []], _OPEN)
         # bits of two rows or more are columns; the last column stays empty
         n_line, n_around = (np.array([len(x) // 2 for x in c]) for c in (line, around))
         of_line, of_around = (np.frombuffer(b"".join(c), np.uint16) for c in (line, around))
@@ -494,11 +514,6 @@ def open_pairs(placed: DataFrame, least: int, percent: int, spanning: bool) -> D
                 good[some] = np.maximum(total[:, least - 1], (total[:, least:] - total[:, :-least]).max(axis=1)) >= enough
             return good
 
-        two = (own != own[0]).any()  # two blocks: each is a tile of its own too
-        a, b = (np.flatnonzero(own == own[0]), np.flatnonzero(own != own[0])) if two else (np.arange(len(rows)),) * 2
-        apart = (owner[a, None] != owner[b]) & (region[a, None] != region[b]) & (group[a, None] != group[b])
-        if not two:
-            apart = np.tril(apart)
         there = common(near[a], wide[b])
         back = common(near[b], wide[a]).T if two else there.T
         most = np.minimum(there + doubled[a, None], back + doubled[b])
@@ -512,8 +527,9 @@ def open_pairs(placed: DataFrame, least: int, percent: int, spanning: bool) -> D
         for x, y in ((0, 1), (1, 0)):
             good = dense((i, j)[x], (i, j)[y])
             most, i, j = most[good], i[good], j[good]
-        chosen = np.zeros(len(i), bool)
+        rest: list[None] = []
         if spanning:
+            chosen = np.zeros(len(i), bool)
             # the best pair of each group that a row meets, row by row
             late, early = np.maximum(i, j), np.minimum(i, j)
             order = np.lexsort((-most, late))
@@ -525,13 +541,10 @@ def open_pairs(placed: DataFrame, least: int, percent: int, spanning: bool) -> D
                 joined, first = np.unique(group[early[some]], return_index=True)
                 chosen[some[first]] = True
                 group[np.isin(group, joined)] = group[me]
-        listed = chosen if spanning and (two or len(i) > 64 * len(rows)) else np.ones(len(i), bool)
-        i, j, first = i[listed], j[listed], chosen[listed]
-        i, j = np.where(region[i] < region[j], (i, j), (j, i))
-        out = [region[i], place[i], region[j], place[j], first, np.full(len(i), key[0])]
-        if not listed.all():
-            out = [pa.array([*c.tolist(), x]) for c, x in zip(out, (None, None, None, None, None, key[0]), strict=True)]
-        return _record(out, _OPEN)
+            rest = [] if chosen.all() else [None]
+            i, j = i[chosen], j[chosen]
+        first, second = np.minimum(region[i], region[j]).tolist(), np.maximum(region[i], region[j]).tolist()
+        return _record([first + rest, second + rest, [key[0]] * (len(i) + len(rest))], _OPEN)
 
     return by_group(met.select(tile.alias("tile"), *columns), "tile", meet, _OPEN)
 
@@ -618,20 +631,17 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, shingle: int = 5,
     left = tmp.store(labelled(shared, classes).select("key", "region", "place", "label", "n"))
     tmp.drop(met)
     tmp.release()
-    sketched = tmp.store(sketches(left, leads, least))
+    sketched = tmp.store(sketches(left, leads, partners(pairs), least))
     tmp.drop(left)
-    met = tmp.store(open_pairs(sketched, least, percent, True))
-    untried = lambda some: some.select("region", "other").distinct().join(pairs, ["region", "other"], "left_anti")
     # pairs that span classes first: where they are links, the rest of the classes' pairs need no check
-    more = tmp.store(untried(met.where("spanning")))
+    met = tmp.store(open_pairs(sketched, least, percent, True))
+    more = tmp.store(met.where("region is not null").select("region", "other").distinct())
     parts.append(tmp.store(verified(more, leads, least, percent)))
     tmp.drop(classes)
     classes = passage_classes(parts[0].union(parts[1]), least, tmp)
-    pairs = pairs.union(more)
-    rest = in_classes(in_classes(met.where("not spanning"), classes), classes, "other", "other_place", "other_label")
-    rest = rest.where("label is null or other_label is null or label <> other_label").select("region", "other")
-    marked = sketched.drop("label").join(met.where("region is null").select("key").distinct(), "key", "left_semi")
-    more = tmp.store(untried(rest.union(open_pairs(labelled(marked, classes), least, percent, False).select("region", "other"))))
+    rest = sketched.drop("label", "tried").join(met.where("region is null").select("key").distinct(), "key", "left_semi")
+    rest = labelled(rest, classes).join(partners(pairs.union(more)), "region", "left")
+    more = tmp.store(open_pairs(rest, least, percent, False).select("region", "other").distinct())
     parts.append(tmp.store(verified(more, leads, least, percent)))
     tmp.drop(classes, met)
     classes = passage_classes(parts[0].union(parts[1]).union(parts[2]), least, tmp)

@@ -423,6 +423,34 @@ def test_a_family_of_near_copies_is_one_class_without_its_pairs(spark, monkeypat
     assert len(rows) <= 2 * len(docs) and sum(tried[1:]) <= len(docs) and sum(tried) <= 1_500
 
 
+def test_pairs_that_were_tried_are_not_tried_again(spark, monkeypatch):
+    """A ring of texts that share stretches too short for a passage, two by two, and pairs of near copies around one stretch, in small blocks."""
+    rng, made = random.Random(10), iter(range(10**9))
+    fresh = lambda n: [f"w{next(made)}" for _ in range(n)]
+    ring, core, docs = [fresh(42) for _ in range(20)], fresh(42), []
+    for i in range(20):
+        docs.append(ring[i - 1] + ring[i])
+    for _ in range(15):
+        own = core + fresh(16)
+        docs += [fresh(rng.randint(0, 20)) + x + fresh(rng.randint(0, 20)) for x in (own, own[:-2] + fresh(2))]
+    tried, sketched, verified, sketches = [], [], passages.verified, passages.sketches
+
+    def counted(pairs, *more):
+        tried.extend((r.region, r.other) for r in pairs.collect())
+        return verified(pairs, *more)
+
+    def listed(open_, *more):
+        sketched.extend(n for _, n in Counter(r.key for r in open_.select("key").collect()).items())
+        return sketches(open_, *more)
+
+    monkeypatch.setattr(passages, "verified", counted)
+    monkeypatch.setattr(passages, "sketches", listed)
+    monkeypatch.setattr(passages, "_BLOCK", 8)
+    rows = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows} == plain_near(dict(enumerate(docs))) == set(range(20, 50))
+    assert len(tried) == len(set(tried)) and sketched and min(sketched) > 2
+
+
 def test_exact_passages_are_found_beside_other_repeated_text(spark):
     made = iter(range(10**9))
     fresh = lambda n: [f"w{next(made)}" for _ in range(n)]
